@@ -6,10 +6,11 @@ columns from the operator's output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, simhash
+from . import byte_bpe, decontaminate, quality_rules, simhash
 from .common import table
 
 
@@ -45,6 +46,18 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
 """
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    ranks = byte_bpe.read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(coded.drop("text"), ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -84,6 +97,7 @@ FROM g
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
