@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality_rules, simhash
+from . import byte_bpe, chat_events, decontaminate, pseudonyms, quality_rules, simhash
 from .common import table
 
 
@@ -46,6 +46,42 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
 """
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    changed = F.filter("findings", lambda x: x["changed"])
+    return found.select("doc_id", "text", F.size("findings").cast("long").alias("n_found"), F.size(changed).cast("long").alias("n_changed"), F.array_join(F.transform(changed, lambda x: x["kind"]), ",").alias("kinds"))
+
+
+def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    read = chat_events.read_back(chat_events.format_log(chat_events.as_events(rows)))
+    flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("conversation").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(flat, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP6_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r),
+e AS (SELECT *, CAST(len(role) + len(regexp_replace(role, '[^\\<>\n]', '', 'g')) + len(text) + len(regexp_replace(text, '[^\\<]', '', 'g')) + 17 AS BIGINT) AS size FROM n)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     ranks = byte_bpe.read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -97,6 +133,8 @@ FROM g
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_pseudonyms": op4_pseudonyms,
+    "op6_chat_events": op6_chat_events,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
@@ -104,5 +142,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
+    "op6_chat_events": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
 }
