@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_events, decontaminate, pseudonyms, quality_rules, simhash
+from . import byte_bpe, chat_events, decontaminate, hilbert_shards, pseudonyms, quality_rules, simhash
 from .common import table
 
 
@@ -46,6 +46,10 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
 """
 
 
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     changed = F.filter("findings", lambda x: x["changed"])
@@ -133,6 +137,7 @@ FROM g
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_hilbert_shards": op2_hilbert_shards,
     "op4_pseudonyms": op4_pseudonyms,
     "op6_chat_events": op6_chat_events,
     "op7_byte_bpe": op7_byte_bpe,
