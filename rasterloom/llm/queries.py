@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_events, decontaminate, hilbert_shards, pseudonyms, quality_rules, simhash
+from . import byte_bpe, chat_events, decontaminate, hilbert_shards, pseudonyms, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -50,6 +50,13 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.assign(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, labels, fit=third == 0, scale=third == 2, out="score")
+    return found.select("doc_id", (third == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     changed = F.filter("findings", lambda x: x["changed"])
@@ -138,6 +145,7 @@ FROM g
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_toxicity": op3_toxicity,
     "op4_pseudonyms": op4_pseudonyms,
     "op6_chat_events": op6_chat_events,
     "op7_byte_bpe": op7_byte_bpe,
