@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_events, decontaminate, hilbert_shards, pseudonyms, quality_rules, simhash, toxicity
+from . import byte_bpe, chat_events, decontaminate, hilbert_shards, maxent, pseudonyms, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -105,6 +105,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     )
 
 
+def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return maxent.score(docs, train=F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -149,6 +154,7 @@ QUERIES = {
     "op4_pseudonyms": op4_pseudonyms,
     "op6_chat_events": op6_chat_events,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_maxent": op8_maxent,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
