@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_events, decontaminate, hilbert_shards, maxent, pseudonyms, quality_rules, simhash, toxicity
+from . import byte_bpe, chat_events, cotrain, decontaminate, hilbert_shards, maxent, pseudonyms, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -63,6 +63,13 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("findings").cast("long").alias("n_found"), F.size(changed).cast("long").alias("n_changed"), F.array_join(F.transform(changed, lambda x: x["kind"]), ",").alias("kinds"))
 
 
+def op5_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels")
+    found = cotrain.score(docs, labels, fit=third != 1, out="score")
+    return found.select("doc_id", (third == 1).alias("held_out"), "score", (F.col("score") >= cotrain.KEEP).alias("kept"))
+
+
 def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -152,6 +159,7 @@ QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_toxicity": op3_toxicity,
     "op4_pseudonyms": op4_pseudonyms,
+    "op5_cotrain": op5_cotrain,
     "op6_chat_events": op6_chat_events,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_maxent": op8_maxent,
