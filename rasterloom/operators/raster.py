@@ -51,7 +51,7 @@ def radar_change(pairs: list[tuple[Column, Column]], domain: str, threshold: flo
     """
     if domain not in DOMAINS:
         raise ValueError(f"unknown radiometric domain {domain!r}")
-    change = (lambda a, b: F.abs(N.finite(b) - N.finite(a))) if domain == "db" else N.log_ratio
+    change = (lambda a, b: F.abs(N.finite(b) - N.finite(a))) if domain == "db" else (lambda a, b: N.log_ratio(a, b))
     each = [F.zip_with(a, b, change) for a, b in pairs]
     score = each[0]
     for x in each[1:]:
