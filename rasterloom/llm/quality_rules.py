@@ -81,7 +81,9 @@ def text_figures(docs: DataFrame, text: str, out: str) -> DataFrame:
         (F.size(lines_in) - F.size(F.array_distinct(lines_in))).cast("long").alias("n_dup_lines"),
         F.when(F.col(s).isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
     )
-    return df.withColumn(out, figures).drop(w, h, s, m, lines_in)
+    # A generator of one row keeps a filter on the figures above them; pushed below, it would compute each of the
+    # intermediate arrays again wherever it names them.
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode_outer(F.array(figures)).alias(out))
 
 
 def base_failed(figures: Column) -> Column:
