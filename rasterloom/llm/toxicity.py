@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, written
 from .tokens import FOLD, Hashes, hashed, slices, sums
 
 MAX_DOCS = 20_000
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 DISCOUNT = 0.75
 STRONG = 1.5
 THRESHOLD = 0.7
@@ -126,9 +126,7 @@ def _tables(docs: DataFrame, text: str, fitted: DataFrame, doc_id: str) -> tuple
                 )
 
     pairs = rows.mapInArrow(count, "pair long, h int, w long, n0 int, n1 int").groupBy("pair", "h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    from .common import cut_lineage
-
-    pairs = cut_lineage(pairs)
+    pairs = written(pairs, "toxicity_pairs")
     toxic = fitted.where("_tx_y = 1").count()
     # Chance puts an expression of no meaning into a number of documents that varies with the root of their number.
     d = max(1.0, DISCOUNT * toxic**0.5)
