@@ -582,3 +582,69 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["change_area_answer"] = flagship
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS phrase, regexp_extract_all(lower(CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE p_type END), '[a-z0-9]+') AS class FROM part)
+    SELECT p_partkey, len(class) > 0 AND len(list_filter(class, lambda w: NOT list_contains(phrase, w))) = 0 AS matches FROM p"""
+)
+def phrase_match(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 2 == 0, F.substring_index("p_name", " ", 1)).otherwise(F.col("p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", X.phrase_matches_class(F.col("p_name"), name).alias("matches"))
+
+
+@query("SELECT 'S2_T' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || 'ABC_' || s_suppkey || '_7' AS patch, 'T' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || 'ABC_' || s_suppkey || '_7' AS cell FROM supplier")
+def group_ids(spark, sf_dir):
+    patch = F.concat(F.lit("S2_T"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"), F.lit("ABC_"), F.col("s_suppkey").cast("string"), F.lit("_7"))
+    return read(spark, sf_dir, "supplier").select(patch.alias("patch"), X.group_id(patch).alias("cell"))
+
+
+@query("SELECT 'pair_' || substr(sha256(c_name || chr(0) || CAST(c_custkey AS VARCHAR)), 1, 24) AS sample, replace(replace(replace(c_name, '&', '&amp;'), '<', '&lt;'), '#', '#') AS label FROM customer")
+def sample_ids(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select(X.sample_id(F.col("c_name"), F.col("c_custkey").cast("string")).alias("sample"), X.html_escape(F.col("c_name")).alias("label"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS t FROM events")
+def fixed_width_times(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", X.fixed_width_time(F.col("ts")).alias("t"))
+
+
+@query(f"SELECT c_custkey, {_MICRO.format('(10.0 * (c_custkey % 50 - 7.5) - 2.0 * (c_nationkey - 3.25)) / 98.0')} AS col, {_MICRO.format('(10.0 * (c_nationkey - 3.25) - 1.0 * (c_custkey % 50 - 7.5)) / 98.0')} AS \"row\" FROM customer")
+def world_to_pixel(spark, sf_dir):
+    grid = F.struct(*(F.lit(v).alias(k) for k, v in zip("abcdef", (10.0, 2.0, 7.5, 1.0, 10.0, 3.25))))
+    p = N.world_to_pixel(grid, F.col("c_custkey") % 50, F.col("c_nationkey").cast("double"), 0.0)
+    return read(spark, sf_dir, "customer").select("c_custkey", p.alias("p")).select("c_custkey", N.micro(F.col("p.col")).alias("col"), N.micro(F.col("p.row")).alias("row"))
+
+
+@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 5 = 0)")
+def dangling_edges(spark, sf_dir):
+    key = lambda c: F.col(c).cast("string")
+    edges = read(spark, sf_dir, "supplier").select(key("s_nationkey").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("target"))
+    nodes = read(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(key("n_nationkey").alias("evidence_id"))
+    nodes = nodes.unionByName(edges.select(F.col("target").alias("evidence_id")))
+    return E.dangling_edges(edges, nodes).select(F.substring("target", 2, 20).cast("long").alias("s_suppkey"), F.col("source").cast("int").alias("s_nationkey"))
+
+
+@query("SELECT p_name, count(DISTINCT p_size) AS payloads FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1")
+def conflicting_duplicates(spark, sf_dir):
+    return E.conflicting(read(spark, sf_dir, "part"), "p_name", "p_size")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_event_counts(spark, sf_dir):
+    from .streaming.events import windowed_counts
+
+    return windowed_counts(read(spark, sf_dir, "events"), "ts", "1 hour", "1 day", "event_type")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id > 500")
+def stream_event_tail(spark, sf_dir):
+    """The tail of the event table read as a stream: the same rows as the batch."""
+    import uuid
+
+    from .sources.shared import shared_folder
+    from .streaming.events import event_stream, run_to_table, tail
+
+    rows = event_stream(spark, sf_dir, read(spark, sf_dir, "events").schema, only="events.parquet").select("event_id", "user_id", F.col("event_id").alias("sequence"))
+    name = f"tail_{uuid.uuid4().hex}"
+    return run_to_table(tail(rows, after=500), name, f"{shared_folder(spark)}/{name}").select("event_id", "user_id")

@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 TERMINAL = ("SUCCEEDED", "FAILED", "CANCELLED", "INTERRUPTED")
 
 
-def event_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 100) -> DataFrame:
-    """Parquet files of a folder as they come, ``files`` at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 100, only: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder as they come, ``files`` at a time; ``only`` is a pattern of their names."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", only).parquet(path)
 
 
 def tail(events: DataFrame, job: str | None = None, after: int = -1) -> DataFrame:
