@@ -106,24 +106,30 @@ def interpret(query: Column, limit: int = MAX_CHARACTERS) -> Column:
 
     Lower case stands for compatibility folding, which agrees on ASCII; ``interpret_one`` folds other text too.
     """
-    text = F.trim(F.lower(F.coalesce(query, F.lit(""))))
-    guard = F.when(text == "", "empty_query").when(F.length(text) > limit, "query_length_limit")
-    rule = guard.otherwise(_chain([(c, r) for c, r, _ in RULES], text, "no_matching_rule"))
-    temporal = _column(TEMPORAL, text)
-    family = F.lit("AMBIGUOUS")
-    for _, name, value in reversed(RULES):
-        own = F.when(temporal, "CHANGE_MEASURE").otherwise("MEASURE") if value == "MEASURE" else F.lit(value)
-        family = F.when(rule == name, own).otherwise(family)
-    target = _chain(TARGET, text, None)
-    spatial = rule.isin(*SPATIAL) | (rule.isin("ambiguous_bank", "temporal_change_question") & text.rlike(GROUND))
-    return F.struct(
-        family.alias("task_family"),
-        F.when(rule == "ambiguous_bank", "bank").when(rule == "water_change_localization", "water").when(~rule.isin(*NO_TARGET), target).alias("target_semantic"),
-        F.when(rule.isin(*MEASURES), _chain(MEASUREMENT, text, None)).alias("requested_measurement"),
-        F.when(rule.isin(*DIRECTED), _chain(DIRECTION, text, "UNKNOWN")).alias("temporal_direction"),
-        spatial.alias("spatial_request"),
-        rule.alias("matched_rule"),
-    )
+    folded = F.trim(F.lower(F.coalesce(query, F.lit(""))))
+    named = lambda rule, family: F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"))
+
+    def with_rule(text: Column) -> Column:
+        first = named("no_matching_rule", "AMBIGUOUS")
+        for condition, rule, family in reversed(RULES):
+            first = F.when(_column(condition, text), named(rule, family)).otherwise(first)
+        first = F.when(text == "", named("empty_query", "AMBIGUOUS")).when(F.length(text) > limit, named("query_length_limit", "AMBIGUOUS")).otherwise(first)
+        return F.struct(text.alias("text"), first.alias("first"))
+
+    def told(x: Column) -> Column:
+        text, rule, family = x["text"], x["first"]["rule"], x["first"]["family"]
+        spatial = rule.isin(*SPATIAL) | (rule.isin("ambiguous_bank", "temporal_change_question") & text.rlike(GROUND))
+        return F.struct(
+            F.when((family == "MEASURE") & _column(TEMPORAL, text), "CHANGE_MEASURE").otherwise(family).alias("task_family"),
+            F.when(rule == "ambiguous_bank", "bank").when(rule == "water_change_localization", "water").when(~rule.isin(*NO_TARGET), _chain(TARGET, text, None)).alias("target_semantic"),
+            F.when(rule.isin(*MEASURES), _chain(MEASUREMENT, text, None)).alias("requested_measurement"),
+            F.when(rule.isin(*DIRECTED), _chain(DIRECTION, text, "UNKNOWN")).alias("temporal_direction"),
+            spatial.alias("spatial_request"),
+            rule.alias("matched_rule"),
+        )
+
+    # Bound by lambdas, so that folding and the rule chain are evaluated once, not wherever they are named.
+    return F.element_at(F.transform(F.transform(F.array(folded), with_rule), told), 1)
 
 
 def interpret_one(query: str, limit: int = MAX_CHARACTERS) -> dict:
