@@ -108,3 +108,35 @@ def illegal_transitions(events: DataFrame, key: str, order: str, state: str, tab
 def latest(events: DataFrame, key: str, order: Column, *values: str) -> DataFrame:
     """The values of each key's last event."""
     return events.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("_x")).select(key, "_x.*")
+
+
+def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that only one of two tables has, with the side that has it: none means equal sets."""
+    return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
+
+
+def copy_as(df: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """The rows of one key under another one, to append."""
+    return df.where(F.col(key) == old).withColumn(key, F.lit(new))
+
+
+def submissions(existing: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (key_hash, request_hash) with an outcome: REPLAY, CONFLICT (another body under the key) or NEW."""
+    known = existing.select("key_hash", F.col("request_hash").alias("_known"))
+    outcome = F.when(F.col("_known").isNull(), "NEW").when(F.col("_known") == F.col("request_hash"), "REPLAY").otherwise("CONFLICT")
+    return requests.join(known, "key_hash", "left").withColumn("outcome", outcome).drop("_known")
+
+
+def interrupted(jobs: DataFrame) -> DataFrame:
+    """Jobs after a restart: what ran is interrupted."""
+    return jobs.withColumn("status", F.when(F.col("status") == "RUNNING", "INTERRUPTED").otherwise(F.col("status")))
+
+
+def derangement(keys: DataFrame, key: str, shift: int = 1) -> DataFrame:
+    """(key, other): each key with the one ``shift`` places after it, round the end; no key meets itself if there are two.
+
+    Places come from one ordered window: for the bounded tables of evaluation scenes.
+    """
+    placed = keys.select(key).distinct().withColumn("_i", F.row_number().over(W.orderBy(key)) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
+    other = placed.select(F.col(key).alias("other"), F.col("_i").alias("_j"))
+    return placed.withColumn("_j", (F.col("_i") + shift) % F.col("_n")).join(other, "_j").select(key, "other")
