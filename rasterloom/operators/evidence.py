@@ -140,3 +140,16 @@ def derangement(keys: DataFrame, key: str, shift: int = 1) -> DataFrame:
     placed = keys.select(key).distinct().withColumn("_i", F.row_number().over(W.orderBy(key)) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
     other = placed.select(F.col(key).alias("other"), F.col("_i").alias("_j"))
     return placed.withColumn("_j", (F.col("_i") + shift) % F.col("_n")).join(other, "_j").select(key, "other")
+
+
+def transition(rows: DataFrame, key: str, expected: str, new: str, moved: DataFrame, table: dict[str, tuple[str, ...]], at: Column) -> DataFrame:
+    """``rows`` with the keys of ``moved`` in state ``new``, where they were in ``expected`` and the move is legal.
+
+    ``won`` tells which rows moved; a key in another state stays as it is. ``updated_at`` never goes back.
+    """
+    if new not in table.get(expected, ()):
+        raise ValueError(f"{expected} may not become {new}")
+    asked = moved.select(key).distinct().withColumn("_asked", F.lit(True))
+    won = F.coalesce(F.col("_asked"), F.lit(False)) & (F.col("status") == expected)
+    met = rows.join(asked, key, "left").withColumn("won", won)
+    return met.withColumns({"status": F.when(F.col("won"), new).otherwise(F.col("status")), "updated_at": F.when(F.col("won"), F.greatest("updated_at", at)).otherwise(F.col("updated_at"))}).drop("_asked")

@@ -85,3 +85,22 @@ def distribution(rows: DataFrame, value: str) -> DataFrame:
     """Counts and shares of a value, the most frequent first."""
     counts = rows.groupBy(value).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+
+
+def exact_match(rows: DataFrame, kind: str, expected: Column, predicted: Column) -> DataFrame:
+    """Share of equal answers by kind, in normal form."""
+    return rows.groupBy(kind).agg(F.avg(expected.eqNullSafe(predicted).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: distinct keys of two tables, how many both have, and the share of the second's rows whose key the first has."""
+    seen = b.join(a.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")
+    both = seen.agg(F.countDistinct(key).alias("second_keys"), F.countDistinct(F.when(F.col("_seen"), F.col(key))).alias("shared_keys"), F.avg(F.col("_seen").isNotNull().cast("double")).alias("seen_share"))
+    return a.agg(F.countDistinct(key).alias("first_keys")).crossJoin(both)
+
+
+def metric_deltas(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame:
+    """(key, first, second, delta, change): a metric of two systems side by side."""
+    met = a.select(key, F.col(metric).alias("first")).join(b.select(key, F.col(metric).alias("second")), key)
+    met = met.withColumn("delta", F.col("second") - F.col("first"))
+    return met.withColumn("change", F.when(F.col("delta") > 0, "improved").when(F.col("delta") < 0, "worse").otherwise("equal"))

@@ -53,3 +53,17 @@ def aligned(t1: Column, t2: Column, tolerance: float = 1e-6) -> Column:
     p = N.world_to_pixel(t1, t2["c"], t2["f"], 0.0)
     off = lambda x: F.abs(x - F.bround(x))
     return (off(p["col"]) <= tolerance) & (off(p["row"]) <= tolerance)
+
+
+def endpoint_outcome(same_id: Column, same_asset: Column, overlap: Column, order_known: Column, order_matches: Column, same_type: Column, status: Column) -> Column:
+    """The first policy that a pair breaks, by its code; null if it breaks none. Unknowns (nulls) break nothing but the order."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(yes(same_id), "DUPLICATE_OBSERVATION")
+        .when(yes(same_asset), "DUPLICATE_ASSET")
+        .when(yes(overlap == 0), "NO_SPATIAL_OVERLAP")
+        .when(yes(~order_matches), "TEMPORAL_ORDER_CONFLICT")
+        .when(~yes(order_known), "TEMPORAL_ORDER_UNKNOWN")
+        .when(yes(~same_type), "PAIR_TYPE_MISMATCH")
+        .when(yes(status == "FAIL"), "PAIR_INCOMPATIBLE")
+    )

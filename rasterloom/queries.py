@@ -648,3 +648,30 @@ def stream_event_tail(spark, sf_dir):
     rows = event_stream(spark, sf_dir, read(spark, sf_dir, "events").schema, only="events.parquet").select("event_id", "user_id", F.col("event_id").alias("sequence"))
     name = f"tail_{uuid.uuid4().hex}"
     return run_to_table(tail(rows, after=500), name, f"{shared_folder(spark)}/{name}").select("event_id", "user_id")
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT user_id FROM events WHERE event_id % 10 < 3), v AS (SELECT user_id, user_id IN (SELECT user_id FROM t) AS seen FROM events WHERE event_id % 10 >= 8 OR event_type = 'click')
+    SELECT (SELECT count(*) FROM t) AS first_keys, count(DISTINCT user_id) AS second_keys, count(DISTINCT user_id) FILTER (seen) AS shared_keys, CAST(floor(avg(CAST(seen AS DOUBLE)) * 1e6 + 0.5) AS BIGINT) AS seen_share FROM v"""
+)
+def question_overlap(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    k = M.key_overlap(e.where("event_id % 10 < 3"), e.where("event_id % 10 >= 8 or event_type = 'click'"), "user_id")
+    return k.withColumn("seen_share", N.micro(F.col("seen_share")))
+
+
+@query(f"SELECT lang, {_MICRO.format('avg(CAST(quality = toxic AS DOUBLE))')} AS accuracy, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def exact_match_accuracy(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
+    return M.exact_match(d, "lang", F.col("quality"), F.col("toxic")).withColumn("accuracy", N.micro(F.col("accuracy")))
+
+
+@query(
+    f"""{_DECIDE}, f AS (SELECT lang, t, count(*) FILTER (score >= t AND target = 1) AS tp, count(*) FILTER (score >= t AND target <> 1) AS fp, count(*) FILTER (score < t AND target = 1) AS fn FROM d, (VALUES (CAST(0.3 AS DOUBLE)), (CAST(0.6 AS DOUBLE))) v(t) GROUP BY ALL),
+    g AS (SELECT lang, t, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM f), j AS (SELECT a.lang, CAST(b.f1 AS DOUBLE) - CAST(a.f1 AS DOUBLE) AS delta FROM g a JOIN g b ON a.lang = b.lang AND a.t < 0.5 AND b.t > 0.5)
+    SELECT lang, {_MICRO.format('delta')} AS delta, CASE WHEN delta > 0 THEN 'improved' WHEN delta < 0 THEN 'worse' ELSE 'equal' END AS change FROM j"""
+)
+def metric_deltas(spark, sf_dir):
+    d = _decisions(spark, sf_dir)
+    scored = lambda t: M.confusion(d, ["lang"], threshold=t).select("lang", M.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+    return M.metric_deltas(scored(0.3), scored(0.6), "lang", "f1").select("lang", N.micro(F.col("delta")).alias("delta"), "change")
