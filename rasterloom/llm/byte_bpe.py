@@ -72,27 +72,29 @@ def _boundaries(text: str, start: int, pattern: regex.Pattern, until: int) -> li
     return found
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` and ``out``, the token ids as array<int>."""
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = True) -> DataFrame:
+    """``docs`` and ``out``, the token ids as array<int>; the text itself only if ``keep``."""
     out = fresh(docs, out)
     if not 0 < overlap < chunk:
         raise ValueError("the overlap must be shorter than a chunk")
     given = docs.sparkSession.sparkContext.broadcast(ranks)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    kept = [i for i in range(len(docs.columns)) if keep or i != at]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def whole(batches):
         for b in batches:
             for lo, part in _slices(b):
                 ids = [encode_stretch(t or "", given.value, pattern) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(ids, pa.list_(pa.int32()))], schema.names)
 
     size = F.coalesce(F.char_length(F.col(text)), F.lit(0))
     short = docs.where(size <= chunk).mapInArrow(whole, schema)
-    return short.unionByName(_long(docs.where(size > chunk), text, out, given, pattern, chunk, overlap))
+    long = _long(docs.where(size > chunk), text, out, given, pattern, chunk, overlap)
+    return short.unionByName(long if keep else long.drop(text))
 
 
-def _slices(b: pa.RecordBatch, rows: int = 256):
+def _slices(b: pa.RecordBatch, rows: int = 64):
     for lo in range(0, b.num_rows, rows):
         yield lo, b.slice(lo, rows)
 
@@ -102,7 +104,6 @@ def _long(docs: DataFrame, text: str, out: str, given, pattern: str, chunk: int,
     from .common import cut_lineage
 
     key, names = fresh(docs, "_bpe_row"), docs.columns
-    rest = [c for c in names if c != text]
     keyed = cut_lineage(docs.withColumn(key, F.uuid()).select(key, *names))
     n = shuffle_partitions(docs.sparkSession)
 
@@ -153,7 +154,7 @@ def _long(docs: DataFrame, text: str, out: str, given, pattern: str, chunk: int,
     done = alone.unionByName(joined).repartition(n, "row", "no").mapInArrow(coded, "row string, no int, ids array<int>")
     parts = done.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias(out))
     back = keyed.join(parts.withColumnRenamed("row", key), key)
-    return back.select(*(F.col(f"`{c}`") for c in names), F.coalesce(out, F.array().cast("array<int>")).alias(out)) if rest else back.select(text, out)
+    return back.select(*(F.col(f"`{c}`") for c in names), F.coalesce(out, F.array().cast("array<int>")).alias(out))
 
 
 def decode(coded: DataFrame, ranks: bytes, ids: str = "ids", out: str = "bytes") -> DataFrame:

@@ -102,8 +102,8 @@ FROM e GROUP BY conv_id
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     ranks = byte_bpe.read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(coded.drop("text"), ranks)
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep=False)
+    decoded = byte_bpe.decode(coded, ranks)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -24,6 +24,13 @@ def test_chunks_equal_whole_texts(spark, chunk, overlap):
         assert got[i]["_ids"] == WHOLE.encode_ordinary(t or "") and bytes(got[i]["bytes"]) == (t or "").encode() and got[i]["ids"] == 1
 
 
+def test_texts_can_be_left_out(spark):
+    df = spark.createDataFrame([(1, "a b " * 30), (2, "a"), (3, None)], "doc_id long, text string")
+    got = b.encode(df, RANKS, P.PATTERN, chunk=40, overlap=16, keep=False)
+    assert got.columns == ["doc_id", "ids"] and {r.doc_id: r.ids for r in got.collect()} == {1: WHOLE.encode_ordinary("a b " * 30), 2: WHOLE.encode_ordinary("a"), 3: []}
+    assert b.encode(df.select("text"), RANKS, P.PATTERN).count() == 3 and b.encode(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
 def test_long_stretch_is_split_by_the_pattern(monkeypatch):
     monkeypatch.setattr(b, "LONG", 10)
     for t in ("a b  c\n\n d's 12x" * 9, " " * 50, "x" * 99):
