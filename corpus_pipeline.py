@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: that of the smallest doc_id."""
+    """One document of each class of near copies (five-word shingles, Jaccard 0.8) stays: that of the smallest doc_id."""
     return simhash.deduplicate(docs)
 
 

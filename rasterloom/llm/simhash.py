@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_copies
 from .common import cut_lineage, fresh
 from .components import components
 
@@ -151,11 +152,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class: that of the smallest doc_id (equal rows, or rows of one doc_id with several texts in a
-    class: one of them). Rows with a null doc_id stay only where their class has no other. The columns of ``docs``."""
+    """One row of each class of near copies (``near_copies``; the fingerprints' radius is that of op9 alone): that of
+    the smallest doc_id (equal rows, or rows of one doc_id with several texts in a class: one of them). Rows with a null doc_id stay only where their class has no other. The columns of ``docs``."""
     key, mark, rank = (fresh(docs, x) for x in ("_sh_text", "_sh_id", "_sh_rank"))
     th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    found = classes(docs, doc_id, text, extra={"th": th})
+    found = near_copies.classes(docs, th, doc_id, text)
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x"))
     keep = first.select(F.col("x.doc_id").alias(mark), F.col("x.th").alias(key))
     joined = docs.withColumn(key, th).join(keep, key).where(F.col(doc_id).eqNullSafe(F.col(mark)))
