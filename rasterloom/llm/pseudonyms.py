@@ -2,7 +2,8 @@
 
 Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), social security numbers (valid ranges),
 dates of 1900 to 2099 (yyyy-MM-dd, yyyy/MM/dd, dd/MM/yyyy, MM/dd/yyyy, dd.MM.yyyy), IPv4 addresses, telephone numbers,
-e-mail addresses, and values of secrets (password=..., token = "..."). What is not valid stays as it is.
+e-mail addresses, and values of secrets (password=..., token = "..."). What is not valid stays as it is. A run of
+digits that is no card may hold one: its parts from separator to separator are tried too (not beyond 19 digits of it).
 
 Each value is split in two halves, and eight Feistel rounds add to one half, modulo its size, a keyed SHA-256 of the
 other; so each value goes to exactly one of the same format, equal values stay linked across documents, and with the
@@ -118,11 +119,43 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
 
 
-def _card(x: Column, key: str, inverse: bool) -> Column:
+def _card_whole(x: Column, key: str, inverse: bool) -> Column:
     d = _digits(x)
     body = F.concat(F.substring(d, 1, 1), permute_digits(F.substring(d, F.lit(2), F.char_length(d) - 2), key, "card", inverse))
     check = F.pmod(10 - _luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
-    return F.when(_luhn_sum(d) % 10 == 0, _put_back(x, F.concat(body, check.cast("string")))).otherwise(x)
+    return _put_back(x, F.concat(body, check.cast("string")))
+
+
+def _card_parts(x: Column) -> Column:
+    """(less, at, n) of each part of 13 digits or more from separator to separator, the longest first, then the first."""
+    places = F.sequence(F.lit(1), F.char_length(x))
+    parted = lambda i: (i < 1) | (i > F.char_length(x)) | F.substring(x, i, F.lit(1)).rlike("^[ -]$")
+    digit = lambda i: F.substring(x, i, F.lit(1)).rlike("^[0-9]$")
+    first, last = F.filter(places, lambda i: digit(i) & parted(i - 1)), F.filter(places, lambda i: digit(i) & parted(i + 1))
+    each = F.flatten(F.transform(first, lambda i: F.transform(last, lambda j: F.struct((-F.char_length(_digits(F.substring(x, i, j - i + 1)))).alias("less"), i.alias("at"), (j - i + 1).alias("n")))))
+    return F.sort_array(F.filter(each, lambda p: (p["n"] > 0) & (p["less"] <= -13)))
+
+
+def _card(x: Column, key: str, inverse: bool) -> Column:
+    """The run of digits, or where it fails the Luhn test, the first of its parts that passes.
+
+    Such a part walks on through the permutation until the parts tried before it fail as they did before, so that the
+    mapping stays one to one.
+    """
+    passes = lambda t, p: _luhn_sum(_digits(F.substring(t, p["at"], p["n"]))) % 10 == 0
+    chosen = lambda t: F.get(F.filter(_card_parts(x), lambda p: passes(t, p)), F.lit(0))
+
+    def walked(part: Column) -> Column:
+        def step(s, _):
+            now = F.substring(s["t"], part["at"], part["n"])
+            new = F.concat(F.substring(x, F.lit(1), part["at"] - 1), _card_whole(now, key, inverse), F.substring(x, part["at"] + part["n"], F.char_length(x)))
+            following = F.element_at(F.transform(F.array(new), lambda t: F.struct(t.alias("t"), (chosen(t) == part).alias("done"))), 1)
+            return F.when(s["done"], s).otherwise(following)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(x.alias("t"), F.lit(False).alias("done")), step, lambda s: s["t"])
+
+    inner = F.element_at(F.transform(F.array(chosen(x)), lambda p: F.when(p.isNull(), x).otherwise(walked(p))), 1)
+    return F.when(_luhn_sum(_digits(x)) % 10 == 0, _card_whole(x, key, inverse)).when(x.rlike("[ -]"), inner).otherwise(x)
 
 
 def _mod97(x: Column) -> Column:
