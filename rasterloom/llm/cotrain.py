@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import fresh
 from .tokens import Hashes, hashed, slices, sums
-from .toxicity import _logistic
+from .toxicity import logistic
 
 BUCKETS = 1 << 16
 META = 1 << 12
@@ -193,6 +193,6 @@ def _fitted(views: Views, check: DataFrame, sc) -> Views:
     got = check.mapInArrow(run, "a double, b double, y int").toArrow()
     raw, y = np.column_stack([got.column("a").to_numpy(), got.column("b").to_numpy()]), got.column("y").to_numpy()
     if 0 < y.sum() < len(y):
-        views.fits = [_logistic(raw[:, [i]], y) for i in (0, 1)]
-        views.both = _logistic(views.logits(raw), y)
+        views.fits = [logistic(raw[:, [i]], y) for i in (0, 1)]
+        views.both = logistic(views.logits(raw), y)
     return views

@@ -53,8 +53,8 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    found = toxicity.score(docs, labels, fit=third == 0, scale=third == 2, out="score")
-    return found.select("doc_id", (third == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    found = toxicity.score(docs, labels, fit_rows=third == 0, scale_rows=third == 2, out="score")
+    return found.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op5_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels")
     found = cotrain.score(docs, labels, fit=third != 1, out="score")
-    return found.select("doc_id", (third == 1).alias("held_out"), "score", (F.col("score") >= cotrain.KEEP).alias("kept"))
+    return found.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cotrain.KEEP).alias("kept"))
 
 
 def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:

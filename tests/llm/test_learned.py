@@ -49,11 +49,50 @@ def test_language_model_is_a_distribution():
     assert np.allclose(np.exp(maxent._log_classes(w, feats)).sum(axis=1), 1, atol=1e-5)
 
 
+def test_toxicity_models_are_distributions_and_equal_brute_force(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k * k) % 30}" for k in range(40)) + (" vile vile" if i % 3 == 0 else "")) for i in range(90)], "doc_id long, text string")
+    fitted = docs.select(F.col("doc_id").alias("_tx_id"), (F.col("doc_id") % 3 == 0).cast("int").alias("_tx_y"))
+    m = toxicity.fit(docs, "text", fitted, "doc_id")
+    memo, n, follows = toxicity.Hashes(), (Counter(), Counter()), {}
+    for r in docs.collect():
+        w, h, _ = toxicity.coded([r.text.encode()], memo)
+        for x in set(zip(h.tolist(), w.tolist())):
+            n[r.doc_id % 3 == 0][x] += 1
+            follows.setdefault(x[1], set()).add(x[0])
+    codes = np.arange(toxicity.BUCKETS)
+    contexts = sorted({h for c in n for h, _ in c})
+    smooth = toxicity.UNSEEN
+    shared = lambda w: (len(follows.get(w, ())) + smooth) / (sum(map(len, follows.values())) + smooth * toxicity.BUCKETS)
+    for c in (0, 1):
+        ones, twos = (sum(v == k for v in n[c].values()) for k in (1, 2))
+        d = ones / max(1, ones + 2 * twos)
+        assert 0 <= d < 1
+        word, total, at = Counter(), sum(n[c].values()), Counter()
+        for (h, w), k in n[c].items():
+            word[w] += k
+            at[h] += k
+        other = Counter()
+        for (h, w), k in n[1 - c].items():
+            other[w] += k
+        of_h = lambda k, h: sum(v for (x, _), v in n[k].items() if x == h)
+        own = {w: max(word[w] - d, 0) / total for w in follows if word[w] + other[w] >= toxicity.SUPPORT}
+        for h in [*contexts[:6], 12345]:
+            assert math.isclose(m.probability(c, codes, np.full(len(codes), h)).sum(dtype=np.float64), 1, rel_tol=1e-4)
+            known = min(of_h(0, h), of_h(1, h)) >= toxicity.SUPPORT
+            kept = {w: max(n[c][h, w] - d, 0) / at[h] for w in follows if known and n[0][h, w] + n[1][h, w] >= toxicity.SUPPORT}
+            for w in sorted(follows)[:20]:
+                want = kept.get(w, 0) + (1 - sum(kept.values())) * (own.get(w, 0) + (1 - sum(own.values())) * shared(w))
+                assert math.isclose(m.probability(c, np.array([w]), np.array([h]))[0], want, rel_tol=1e-4), (c, h, w)
+
+
 def test_toxicity_finds_planted_words(spark):
     text = lambda i, bad: " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(60)) + (" you vile rat" if bad else " my dear cat")
     docs = spark.createDataFrame([(i, text(i, i % 4 == 0), 1) for i in range(600)] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, toxicity int")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
     got = {r.doc_id: r["_toxicity"] for r in toxicity.score(docs, labels, third(0), third(2)).collect()}
+    twice = docs.unionByName(docs.where("doc_id < 40")).unionByName(spark.createDataFrame([(902, text(1, False) * 2000, 1)], docs.schema))
+    both = [(r.doc_id, r["_toxicity"]) for r in toxicity.score(twice, labels, third(0), third(2)).collect()]
+    assert len(both) == 643 and len(set(both)) == 603 and dict(both)[902] < 0.7
     assert len(got) == 602 and all(0 <= s <= 1 for s in got.values()) and got[900] == got[901] < 0.7
     assert np.mean([(got[i] >= 0.7) == (i % 4 == 0) for i in range(600)]) > 0.99
     assert {r.toxicity for r in toxicity.score(docs.drop("toxicity"), labels.limit(0), third(0), third(2)).collect()} == {0.0}

@@ -5,7 +5,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from rasterloom.llm import pipeline as corpus_pipeline
 from rasterloom.llm import byte_bpe, decontaminate, pseudonyms, queries, quality_rules, simhash
 
 from ..oracle import same
