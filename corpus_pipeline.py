@@ -1,71 +1,5 @@
-"""The corpus pipeline: five stages over ``documents``, each one operator of ``rasterloom.llm``.
+"""The corpus pipeline: STAGES, ORACLE_SQL and run(spark, sf_dir) of ``rasterloom.llm.pipeline``."""
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-"""
+from rasterloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from rasterloom.llm import byte_bpe, decontaminate, pseudonyms, quality_rules, simhash
-from rasterloom.llm.common import table, written
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines go; rejected documents go."""
-    return quality_rules.clean(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles, Jaccard 0.8) stays: that of the smallest doc_id."""
-    return simhash.deduplicate(docs)
-
-
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated with benchmark items go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms of the same format; n_chars follows the text."""
-    masked = pseudonyms.pseudonymise(docs, out="_findings").select(*docs.columns)
-    if "n_chars" not in docs.columns:
-        return masked
-    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and digests of the ids and of the bytes that they decode to."""
-    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, keep=False)
-    decoded = byte_bpe.decode(coded, ranks)
-    return decoded.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
-
-
-STAGES = [
-    ("quality rules", quality),
-    ("near duplicates", near_duplicates),
-    ("benchmark decontamination", benchmark),
-    ("personal data", personal_data),
-    ("tokens", tokens),
-]
-
-#: Fingerprints, Feistel rounds and byte pairs are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written to the shared folder before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
