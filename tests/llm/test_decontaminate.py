@@ -1,6 +1,9 @@
+import pickle
 import random
 import re
 
+import numpy as np
+
 from rasterloom.llm import decontaminate as d
 
 
@@ -36,11 +39,27 @@ def test_against_brute_force(spark, monkeypatch):
     items = [(k, text(rnd.choice([1, 2, 4, 5, 6, 13, 14, 20]))) for k in range(12)] + [(90, ""), (91, None), (92, "--"), (10, "Zz yy"), (11, "Zz yy")]
     docs = [(k, " ".join([text(rnd.randint(0, 60)), rnd.choice(items)[1] or "", text(5)])) for k in range(40)] + [(100, None), (101, ""), (102, "zz, YY!"), (103, "zz")]
     check(spark, docs, items)
-    # Several blocks give the same.
-    monkeypatch.setattr(d, "BLOCK_BYTES", 64)
+    # Several blocks give the same, and only one is alive at a time.
+    monkeypatch.setattr(d, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(d.Block, "most", 0)
+    check(spark, docs, items)
+    assert d.Block.most == 1
+    # So do pieces of a long item, and a join without a broadcast.
+    monkeypatch.setattr(d, "BLOCK_BYTES", 1 << 20)
+    monkeypatch.setattr(d, "PIECE", 15)
+    monkeypatch.setattr(d, "SMALL", -1)
     check(spark, docs, items)
 
 
+def test_memory_of_a_block():
+    rnd = random.Random(1)
+    text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(60_000)).encode()
+    block = d.Block([("x", text)])
+    assert block.windows == 60_000 - 12 and len(pickle.dumps(block)) < 14 * len(text)
+    block.choose(np.ones(block.shingles, np.int64))
+    assert len(pickle.dumps(block)) < 14 * len(text)
+
+
 def test_edges(spark):
     check(spark, [(1, "a b")], [])
     empty = spark.createDataFrame([], "doc_id long, text string, contamination int")
