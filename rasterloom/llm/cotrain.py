@@ -1,82 +1,119 @@
-"""Quality classifier by co-training of two views.
+"""Quality classifier by co-training of two views that share no input.
 
-* Content: hashed words and word endings with punctuation (``BUCKETS`` buckets), log-odds averaged over the text.
-* Page metadata: language, source, and binned length, line, case and symbol figures of the page, log-odds summed.
+* Content: hashed words and word endings of the text (``BUCKETS`` buckets), log-odds averaged over the text, and the
+  text's shape (case, marks, lengths of words and lines, in bins), log-odds summed.
+* Page metadata: the columns named (language, source, recorded length), hashed by value, numbers by half powers of two;
+  log-odds summed. It never reads the text.
 
 Each view is a naive Bayes model whose log-odds a logistic fit on labelled rows calibrates. In each of ``ROUNDS``
 rounds all documents are scored by both views, and where one view is confident (a calibrated probability of at least
-``SURE`` or at most 1 - ``SURE``) its verdict is a pseudo-label for the *other* view, with weight ``PSEUDO``; labelled
-rows always count for both. A last fit over both calibrated views and a last pass score every document.
+``SURE`` or at most 1 - ``SURE``) and the other does not contradict it with a probability beyond ``AGAINST``, its
+verdict is a pseudo-label for the *other* view, with weight ``PSEUDO``; labelled rows always count for both. The views
+of a round stay only if they score the labelled rows set aside no worse (log-loss of the combination, within
+``SLACK``) than those before; else the rounds end with those. A last pass scores every document by a fit over both calibrated views.
 
 A round is one narrow pass that returns counts by bucket, summed by bucket in Spark: fixed size, whatever the corpus.
 Calibration takes at most ``MAX_DOCS`` labelled rows by hash of their ids; so do the labelled counts of round 0.
 
-Defined results: null texts are empty; null languages and sources are values of their own; without labelled rows of
+Defined results: null texts are empty; null metadata are values of their own; without labelled rows of
 both classes every score is the share of good ones (0.5 without any). Documents with several labels take the least.
-Equal rows get equal scores; further columns pass through.
+Equal rows get equal scores, rows repeated under one id count as often; a very long text is scored whole; an empty
+table gives an empty result; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh
-from .tokens import Hashes, hashed, slices, sums
+from .tokens import slices, sums
 from .toxicity import logistic
 
 BUCKETS = 1 << 16
 META = 1 << 12
 ROUNDS = 2
 SURE = 0.97
+AGAINST = 0.8
+SLACK = 0.01  # nats a row
 PSEUDO = 0.5
 MAX_DOCS = 20_000
 KEEP = 0.5
-_MASK = np.uint64(BUCKETS - 1)
+METADATA = ("lang", "source", "n_chars")
 
 
-def content(texts: list[bytes], memo: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and of their last two bytes, one after the other, and where texts begin."""
+class Codes(dict):
+    """Word to the buckets of the word and of its last two bytes, in one number; forgets all at ``most`` words."""
+
+    def __init__(self, most: int = 1 << 19):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = (xxhash.xxh32_intdigest(word) % BUCKETS) << 16 | xxhash.xxh32_intdigest(word[-2:], 1) % BUCKETS
+        return value
+
+
+def content(texts: list[bytes], memo: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their endings, one after the other, and where texts begin."""
     split = [t.split() for t in texts]
-    whole, begin = hashed(split, memo)
-    ends, _ = hashed([[w[-2:] for w in t] for t in split], memo)
-    fold = lambda h, salt: ((h ^ (h >> np.uint64(23)) ^ np.uint64(salt)) & _MASK).astype(np.int64)
-    return np.stack([fold(whole, 0), fold(ends, 0x5A5A)], axis=1).ravel(), begin * 2
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in split], dtype=np.int64)])
+    both, look = np.empty(int(begin[-1]), np.uint32), memo.__getitem__
+    for t, at in zip(split, begin.tolist()):
+        both[at : at + len(t)] = list(map(look, t))
+    return np.stack([both >> 16, both & 0xFFFF], axis=1).ravel().astype(np.int64), begin * 2
 
 
-def metadata(texts: list[bytes], langs: list, sources: list, memo: Hashes) -> np.ndarray:
-    """Buckets (documents, fields) of each field's value."""
+def shape(texts: list[bytes], words: np.ndarray, memo: Codes) -> np.ndarray:
+    """Buckets (texts, figures) of the text's shape."""
     rows = []
-    for t, lang, source in zip(texts, langs, sources):
+    for t, k in zip(texts, words.tolist()):
         n = len(t)
-        upper = sum(t.count(c) for c in (b"A", b"E", b"I", b"N", b"T"))
-        lower = sum(t.count(c) for c in (b"a", b"e", b"i", b"n", b"t"))
-        marks = sum(t.count(c) for c in (b"!", b"#", b"$", b"%", b"&", b"*", b"|"))
-        spaces, lines = t.count(b" ") + 1, t.count(b"\n") + 1
-        values = (lang, source, int(np.log2(n + 1) * 2), int(np.log2(lines) * 2), int(8 * upper / (upper + lower + 1)), int(np.log2(1 + 1000 * marks / (n + 1))), min(30, n // spaces), min(20, n // lines // 50))
-        rows.append([memo[b"%d=%s" % (i, str(v).encode())] % META for i, v in enumerate(values)])
+        upper, lower = (sum(map(t.count, x)) for x in ((b"A", b"E", b"I", b"N", b"T"), (b"a", b"e", b"i", b"n", b"t")))
+        marks, lines = sum(map(t.count, (b"!", b"#", b"$", b"%", b"&", b"*", b"|"))), t.count(b"\n") + 1
+        values = (int(np.log2(k + 1) * 2), int(np.log2(lines) * 2), int(8 * upper / (upper + lower + 1)), int(np.log2(1 + 1000 * marks / (n + 1))), min(30, n // (k + 1)), min(20, n // lines // 50))
+        rows.append([(memo[b"%d=%d" % (i, v)] >> 16) % META for i, v in enumerate(values)])
     return np.array(rows, np.int64).reshape(len(texts), -1)
 
 
+def metadata(docs: DataFrame, names: tuple[str, ...]) -> Column:
+    """Buckets of the named columns' values: array<int>."""
+    fields = []
+    for i, name in enumerate(names):
+        c = F.col(f"`{name}`")
+        if isinstance(docs.schema[name].dataType, T.NumericType):
+            c = F.floor(2 * F.log2(F.greatest(c.cast("double"), F.lit(0.0)) + 1))
+        fields.append(F.pmod(F.xxhash64(F.lit(i), c.isNull(), c.cast("string")), F.lit(META)).cast("int"))
+    return F.array(*fields)
+
+
 class Views:
-    """Log-odds tables of both views, their calibrations (slope, intercept) and the fit over both."""
+    """Log-odds tables of both views, their calibrations and the fit over both."""
 
-    def __init__(self, words: np.ndarray, meta: np.ndarray):
-        self.words, self.meta = _odds(words), _odds(meta)
-        self.fits = [np.array([1.0, 0.0]), np.array([1.0, 0.0])]
+    def __init__(self, words: np.ndarray, shapes: np.ndarray, meta: np.ndarray):
+        self.words, self.shapes, self.meta = _odds(words), _odds(shapes), _odds(meta)
+        # Of content: slopes of words and shape, intercept; of metadata: slope, intercept.
+        self.fits = [np.array([1.0, 1.0, 0.0]), np.array([1.0, 0.0])]
         self.both = np.array([0.5, 0.5, 0.0])
+        self.loss = np.inf
 
-    def raw(self, texts: list[bytes], langs: list, sources: list, memo: Hashes):
+    def raw(self, texts: list[bytes], fields: np.ndarray, memo: Codes):
+        """Log-odds of words, shape and metadata; buckets of words, where texts begin in them, and of shapes."""
         at, begin = content(texts, memo)
-        fields = metadata(texts, langs, sources, memo)
+        form = shape(texts, np.diff(begin) // 2, memo)
         odds = sums(self.words[at], begin) / np.maximum(np.diff(begin), 1)
-        return np.stack([odds, self.meta[fields].sum(axis=1)], axis=1), at, begin, fields
+        return np.stack([odds, self.shapes[form].sum(axis=1), self.meta[fields].sum(axis=1)], axis=1), at, begin, form
 
     def logits(self, raw: np.ndarray) -> np.ndarray:
-        return np.clip(np.stack([raw[:, i] * self.fits[i][0] + self.fits[i][1] for i in (0, 1)], axis=1), -8, 8)
+        """Calibrated, of content and of metadata."""
+        own = raw[:, :2] @ self.fits[0][:2] + self.fits[0][2], raw[:, 2] * self.fits[1][0] + self.fits[1][1]
+        return np.clip(np.stack(own, axis=1), -8, 8)
 
     def score(self, raw: np.ndarray) -> np.ndarray:
         z = self.logits(raw)
@@ -91,90 +128,102 @@ def _odds(counts: np.ndarray) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
-def _sums(rows: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
+def _fields(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy().reshape(len(col), -1).astype(np.int64) if len(col) else np.zeros((0, 1), np.int64)
+
+
+_TABLES = (BUCKETS, META, META)  # words, shapes, metadata
+
+
+def _sums(rows: DataFrame, run) -> list[np.ndarray]:
     got = rows.mapInArrow(run, "view int, at int, bad double, good double").groupBy("view", "at").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
     view, at = got.column("view").to_numpy(), got.column("at").to_numpy()
     counts = np.column_stack([got.column("bad").to_numpy(), got.column("good").to_numpy()])
-    out = []
-    for k, size in ((0, BUCKETS), (1, META)):
-        table = np.zeros((size, 2))
+    out = [np.zeros((size, 2)) for size in _TABLES]
+    for k, table in enumerate(out):
         table[at[view == k]] = counts[view == k]
-        out.append(table)
-    return out[0], out[1]
+    return out
+
 
+def _told(tables: list[np.ndarray]) -> pa.RecordBatch:
+    at = [np.flatnonzero(t.any(axis=1)) for t in tables]
+    rows = np.concatenate([t[x] for t, x in zip(tables, at)])
+    view = np.repeat(np.arange(len(tables)), list(map(len, at)))
+    return pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["view", "at", "bad", "good"])
 
-def _told(words: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
-    parts = [(k, np.flatnonzero(t.any(axis=1)), t) for k, t in ((0, words), (1, meta))]
-    column = lambda f, kind: pa.array(np.concatenate([f(*p) for p in parts]), kind)
-    return pa.RecordBatch.from_arrays(
-        [column(lambda k, at, t: np.full(len(at), k), pa.int32()), column(lambda k, at, t: at, pa.int32()), column(lambda k, at, t: t[at, 0], pa.float64()), column(lambda k, at, t: t[at, 1], pa.float64())],
-        ["view", "at", "bad", "good"],
-    )
+
+def exchanged(p: np.ndarray) -> list[np.ndarray]:
+    """Pseudo-label weights (bad, good) for the content and for the metadata view, from both views' probabilities."""
+    out = []
+    for own, other in ((0, 1), (1, 0)):
+        bad = (p[:, other] <= 1 - SURE) & (p[:, own] <= AGAINST)
+        good = (p[:, other] >= SURE) & (p[:, own] >= 1 - AGAINST)
+        out.append(np.column_stack([bad, good]) * PSEUDO)
+    return out
 
 
-def _counter(views, labelled: bool):
-    """Counts of a pass over (text, lang, source, y): y is -1 where a row has no label."""
+def _counter(views):
+    """Counts of a pass over (t, m, y): y is -1 where a row has no label. Without views all rows have one."""
 
     def run(batches):
-        memo = Hashes()
-        words, meta = np.zeros((BUCKETS, 2)), np.zeros((META, 2))
+        memo, tables = Codes(), [np.zeros((size, 2)) for size in _TABLES]
         for b in batches:
-            langs, sources, label = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_numpy(zero_copy_only=False)
+            fields, label = _fields(b.column(1)), b.column(2).to_numpy(zero_copy_only=False)
             for first, texts in slices(b.column(0)):
                 part = slice(first, first + len(texts))
-                y = label[part]
-                if labelled:
+                y, m = label[part], fields[part]
+                to_content = to_meta = np.column_stack([y == 0, y == 1]).astype(float)
+                if views is None:
                     at, begin = content(texts, memo)
-                    fields = metadata(texts, langs[part], sources[part], memo)
-                    to_words = to_meta = np.column_stack([y == 0, y == 1]).astype(float)
+                    form = shape(texts, np.diff(begin) // 2, memo)
                 else:
-                    raw, at, begin, fields = views.value.raw(texts, langs[part], sources[part], memo)
-                    p = 1 / (1 + np.exp(-views.value.logits(raw)))
-                    own = np.column_stack([y == 0, y == 1]).astype(float)
-                    # Each view is taught by the other one where that is sure.
-                    told = [np.column_stack([p[:, i] <= 1 - SURE, p[:, i] >= SURE]) * PSEUDO for i in (1, 0)]
-                    to_words, to_meta = (np.where((y < 0)[:, None], x, own) for x in told)
-                n = np.diff(begin)
-                for c in (0, 1):
-                    words[:, c] += np.bincount(at, weights=np.repeat(to_words[:, c], n), minlength=BUCKETS)
-                    meta[:, c] += np.bincount(fields.ravel(), weights=np.repeat(to_meta[:, c], fields.shape[1]), minlength=META)
-        yield _told(words, meta)
+                    raw, at, begin, form = views.value.raw(texts, m, memo)
+                    told = exchanged(1 / (1 + np.exp(-views.value.logits(raw))))
+                    to_content, to_meta = (np.where((y < 0)[:, None], x, to_content) for x in told)
+                for table, where, weight, each in ((tables[0], at, to_content, np.diff(begin)), (tables[1], form.ravel(), to_content, form.shape[1]), (tables[2], m.ravel(), to_meta, m.shape[1])):
+                    for c in (0, 1):
+                        if weight[:, c].any():
+                            table[:, c] += np.bincount(where, weights=np.repeat(weight[:, c], each), minlength=len(table))
+        yield _told(tables)
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, fit: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", out: str = "quality_score", rounds: int = ROUNDS, most: int = MAX_DOCS) -> DataFrame:
-    """``docs`` and ``out`` (0 to 1, higher: better). ``fit`` chooses the label rows to learn from."""
+def score(docs: DataFrame, labels: DataFrame, fit: Column, doc_id: str = "doc_id", text: str = "text", meta: tuple[str, ...] = METADATA, label: str = "quality", out: str = "quality_score", rounds: int = ROUNDS, most: int = MAX_DOCS) -> DataFrame:
+    """``docs`` and ``out`` (0 to 1, higher: better). ``fit`` chooses the label rows to learn from, ``meta`` names the metadata."""
     sc, out = docs.sparkSession.sparkContext, fresh(docs, out)
     known = labels.where(fit & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_co_id")).agg(F.min((F.col(label) > 0).cast("int")).alias("_co_y"))
     total = known.count()
     known = known.where(F.pmod(F.xxhash64(F.lit("quality"), "_co_id"), F.lit(1 << 20)) < min(1.0, most / max(1, total)) * (1 << 20))
     good, n = known.agg(F.coalesce(F.sum("_co_y"), F.lit(0)), F.count("*")).first()
     final = None
+    fields = metadata(docs, meta)
     if 0 < good < n:
         # Half of the labelled rows are counted, half calibrate: counts would look too sure of their own rows.
         halves = known.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "_co_id"), F.lit(2)))
-        named = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"), F.col(doc_id).alias("_co_id")).join(F.broadcast(halves), "_co_id", "left")
-        rows = named.select("t", "l", "s", F.when(F.col("half") == 0, F.col("_co_y")).when(F.col("half") == 1, F.lit(-2)).otherwise(F.lit(-1)).alias("y"))
-        check = named.where("half = 1").select("t", "l", "s", F.col("_co_y").alias("y"))
-        views = _fitted(Views(*_sums(rows.where("y >= 0"), _counter(None, True))), check, sc)
+        named = docs.select(F.col(text).alias("t"), fields.alias("m"), F.col(doc_id).alias("_co_id")).join(F.broadcast(halves), "_co_id", "left")
+        rows = named.select("t", "m", F.when(F.col("half") == 0, F.col("_co_y")).when(F.col("half") == 1, F.lit(-2)).otherwise(F.lit(-1)).alias("y"))
+        check = named.where("half = 1").select("t", "m", F.col("_co_y").alias("y"))
+        views = _fitted(Views(*_sums(rows.where("y >= 0"), _counter(None))), check, sc)
         for _ in range(rounds):
-            views = _fitted(Views(*_sums(rows.where("y > -2"), _counter(sc.broadcast(views), False))), check, sc)
+            given = sc.broadcast(views)
+            following = _fitted(Views(*_sums(rows.where("y > -2"), _counter(given))), check, sc)
+            given.unpersist()
+            if following.loss > views.loss + SLACK:
+                break
+            views = following
         final = sc.broadcast(views)
-    share = good / n if n else 0.5
-    at = [docs.columns.index(c) for c in (text, lang, source)]
+    share, at, named_at = good / n if n else 0.5, docs.columns.index(text), fresh(docs, "_co_fields")
 
     def scored(batches):
-        memo = Hashes()
+        memo = Codes()
         for b in batches:
-            langs, sources = (b.column(i).cast(pa.string()).to_pylist() for i in at[1:])
-            value = [np.zeros(0)]
-            for first, texts in slices(b.column(at[0])):
-                part = slice(first, first + len(texts))
-                value.append(np.full(len(texts), share) if final is None else final.value.score(final.value.raw(texts, langs[part], sources[part], memo)[0]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(value))], [*b.schema.names, out])
+            m, value = _fields(b.column(len(b.columns) - 1)), [np.zeros(0)]
+            for first, texts in slices(b.column(at)):
+                value.append(np.full(len(texts), share) if final is None else final.value.score(final.value.raw(texts, m[first : first + len(texts)], memo)[0]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(value))], [*b.schema.names[:-1], out])
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType(), False)]))
+    return docs.withColumn(named_at, fields).mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType(), False)]))
 
 
 def _fitted(views: Views, check: DataFrame, sc) -> Views:
@@ -182,17 +231,24 @@ def _fitted(views: Views, check: DataFrame, sc) -> Views:
     given = sc.broadcast(views)
 
     def run(batches):
-        memo = Hashes()
+        memo = Codes()
         for b in batches:
-            langs, sources = b.column(1).to_pylist(), b.column(2).to_pylist()
+            fields = _fields(b.column(1))
             for first, texts in slices(b.column(0)):
-                part = slice(first, first + len(texts))
-                raw = given.value.raw(texts, langs[part], sources[part], memo)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0]), pa.array(raw[:, 1]), b.column(3).slice(first, len(texts))], ["a", "b", "y"])
+                raw = given.value.raw(texts, fields[first : first + len(texts)], memo)[0]
+                yield pa.RecordBatch.from_arrays([*(pa.array(raw[:, i]) for i in range(3)), b.column(2).slice(first, len(texts))], ["a", "b", "c", "y"])
 
-    got = check.mapInArrow(run, "a double, b double, y int").toArrow()
-    raw, y = np.column_stack([got.column("a").to_numpy(), got.column("b").to_numpy()]), got.column("y").to_numpy()
+    got = check.mapInArrow(run, "a double, b double, c double, y int").toArrow()
+    given.unpersist()
+    raw, y = np.column_stack([got.column(c).to_numpy() for c in "abc"]), got.column("y").to_numpy()
     if 0 < y.sum() < len(y):
-        views.fits = [logistic(raw[:, [i]], y) for i in (0, 1)]
-        views.both = logistic(views.logits(raw), y)
+        views.fits = [logistic(raw[:, :2], y), logistic(raw[:, 2:], y)]
+        z = views.logits(raw)
+        views.both = logistic(z, y)
+        for own in (0, 1):
+            # A view that would count against its own verdict is left out.
+            if views.both[own] < 0:
+                views.both = np.insert(logistic(z[:, [1 - own]], y), own, 0.0)
+        p = np.clip(views.score(raw), 1e-6, 1 - 1e-6)
+        views.loss = -float(np.mean(np.where(y == 1, np.log(p), np.log(1 - p))))
     return views

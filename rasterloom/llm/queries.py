@@ -65,7 +65,7 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", *cotrain.METADATA), table(spark, sf_dir, "labels")
     found = cotrain.score(docs, labels, fit=third != 1, out="score")
     return found.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cotrain.KEEP).alias("kept"))
 

@@ -105,11 +105,12 @@ class Model:
         ratio = np.log(self.probability(1, w, h)).astype(np.float64) - np.log(self.probability(0, w, h))
         n = np.diff(begin)
         mean = sums(ratio, begin) / np.maximum(n, 1)
-        run = np.concatenate([[0.0], np.cumsum(np.maximum(ratio - CLEAR, 0))])
-        last = np.repeat(begin[1:], n)
-        first = np.arange(len(ratio))
+        clear, last = np.maximum(ratio - CLEAR, 0), np.repeat(begin[1:], n)
         # A passage at the end of a text is shorter: its sum is taken over the whole length all the same.
-        passage = (run[np.minimum(first + PASSAGE, last)] - run[first]) / PASSAGE if len(ratio) else ratio
+        passage, first = np.zeros(len(ratio)), np.arange(len(ratio))
+        for j in range(PASSAGE):
+            inside = np.flatnonzero(first + j < last)
+            passage[inside] += clear[inside + j] / PASSAGE
         best = np.zeros(len(n))
         some = np.flatnonzero(n)
         if len(some):

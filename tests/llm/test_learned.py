@@ -100,11 +100,35 @@ def test_toxicity_finds_planted_words(spark):
 
 
 def test_cotraining_learns_from_unlabelled(spark):
-    good = lambda i: " ".join(f"word{(i * 3 + k) % 40}" for k in range(50)) + "."
-    bad = lambda i: " ".join(f"BUY{(i + k) % 30}!!" for k in range(40))
-    rows = [(i, bad(i) if i % 5 == 0 else good(i), "en", f"s{i % 5 == 0}") for i in range(400)] + [(900, None, None, None), (901, "", "en", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 120)], "doc_id long, quality int")
-    got = {r.doc_id: r.quality_score for r in cotrain.score(docs, labels, F.lit(True)).collect()}
-    assert len(got) == 402 and np.mean([(got[i] >= 0.5) == (i % 5 != 0) for i in range(400)]) > 0.98
-    assert {r.quality_score for r in cotrain.score(docs, labels.limit(0), F.lit(True)).collect()} == {0.5}
+    """Labelled rows use other words than most unlabelled ones; only the sources tell those words' classes, and the rows
+    that are judged have no source."""
+    old, new = ("fine", "foul"), ("neat", "drab")
+    text = lambda i, pair, good: " ".join(f"{pair[0 if good else 1]}{(i * 3 + k) % 20}" for k in range(30))
+    rows = [(i, text(i, old, i % 2 == 0), "en", f"s{i % 2}", 100) for i in range(400)]
+    rows += [(i, text(i, new, i % 2 == 0), "en", f"s{i % 2}", 100) for i in range(1000, 1400)]
+    judged = [(i, text(i, new, i % 2 == 0), None, None, None) for i in range(2000, 2100)]
+    docs = spark.createDataFrame(rows + judged, "doc_id long, text string, lang string, source string, n_chars int")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)], "doc_id long, quality int")
+
+    def right(rounds):
+        got = cotrain.score(docs, labels, F.lit(True), rounds=rounds).where("doc_id >= 2000").collect()
+        return np.mean([(r.quality_score >= 0.5) == (r.doc_id % 2 == 0) for r in got])
+
+    assert right(2) > 0.95 and right(0) < 0.7
+
+
+def test_cotraining_edges(spark):
+    rows = [(i, f"good w{i % 9} fine" if i % 2 else f"BAD x{i % 7}!", "en", "s", 9, 1.5) for i in range(200)] + [(900, None, None, None, None, None), (901, "", "en", "x", 0, 0.0), (902, "good " * 200_000, "en", "s", 10**6, 0.0)]
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string, source string, n_chars int, quality_score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = [(r.doc_id, r["_quality_score"]) for r in cotrain.score(docs, labels, F.lit(True)).collect()]
+    assert len(got) == 223 and len(set(got)) == 203 and all(0 <= s <= 1 for _, s in got) and dict(got)[902] > 0.5
+    assert np.mean([(s >= 0.5) == (i % 2 == 1) for i, s in got if i < 200]) > 0.98
+    assert {r["_quality_score"] for r in cotrain.score(docs, labels.limit(0), F.lit(True)).collect()} == {0.5}
+    assert cotrain.score(docs.limit(0), labels, F.lit(True)).count() == 0
+
+
+def test_cotraining_views_agree_before_they_teach():
+    p = np.array([[0.99, 0.5], [0.99, 0.1], [0.01, 0.5], [0.01, 0.9], [0.5, 0.99]])
+    content, meta = cotrain.exchanged(p)
+    assert (meta * 2).tolist() == [[0, 1], [0, 0], [1, 0], [0, 0], [0, 0]] and (content * 2).tolist() == [[0, 0]] * 4 + [[0, 1]]
