@@ -14,9 +14,8 @@ def third(k):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == k
 
 
-def test_language_model_counts_and_probabilities(spark, monkeypatch):
-    monkeypatch.setattr(maxent, "HEAD", 500)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (-1, "")], "doc_id long, text string"))
+def test_language_model_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (-1, ""), (-2, "huge " * 30_000)], "doc_id long, text string"))
     train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
     got = maxent.score(docs, train).collect()
     rows = docs.collect()
@@ -33,20 +32,56 @@ def test_language_model_counts_and_probabilities(spark, monkeypatch):
         assert r.score < 0
     twins = [r.score for r in got if r.doc_id == -1]
     assert len(twins) == 2 and twins[0] == twins[1]
+    # The score of each text, token by token, from the weights of a second fit.
+    learned = docs.where(train)
+    fold = F.xxhash64(F.lit("fold"), F.col("doc_id"))
+    voc, weights, n_all, v_all = maxent.fit(learned, maxent.count_tokens(learned, "text"), fold)
+    assert (n_all, v_all) == (n, v) and n == voc.total
+    place = {int(h): (int(k), int(p), int(c)) for h, k, p, c in zip(voc.h, voc.k, voc.place, voc.c)}
+    memo, last = maxent.Hashes(), voc.classes - 1
+    in_class = Counter()
+    for k, _, c in place.values():
+        in_class[k] += c
+
+    def softmax(z, i):
+        return z[i] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))
+
+    for r in [r for r in got if 1 < r.n_tokens < 60][:12]:
+        ws, total = want[r.doc_id], 0.0
+        hs = np.array([memo[w] for w in ws], np.uint64)
+        ks = np.array([place.get(int(h), (last, -1, 0))[0] for h in hs])
+        outer, inner = weights.features(hs, ks, np.array([0, len(hs)]))
+        for i, w in enumerate(ws):
+            k, p, c = place.get(int(hs[i]), (last, -1, 0))
+            total += softmax([float(voc.prior[j] + sum(weights.outer[x, j] for x in outer[:, i])) for j in range(voc.classes)], k)
+            if p >= 0:
+                size = int((voc.bias[k] > -1e8).sum())
+                total += softmax([float(voc.bias[k, j] + sum(weights.inner[x, j] for x in inner[:, i])) for j in range(size)], p)
+            elif k != last:
+                total += math.log(c / in_class[k])
+            else:
+                total += math.log((counts[w] + 1) / (voc.rare_n + voc.rare_v + 1))
+        assert math.isclose(r.score, total / math.log(10), rel_tol=2e-3), r.doc_id
+    assert sum(r.score - r.base_score for r in got if r.held_out and r.doc_id != -2) > 0
+    assert maxent.score(docs.limit(0), train).count() == 0
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in maxent.score(docs.limit(5), F.lit(False)).collect())
 
 
 def test_language_model_is_a_distribution():
-    h = np.arange(1, 40, dtype=np.uint64) * np.uint64(7919)
-    c = np.arange(39, 0, -1)
+    rng = np.random.default_rng(0)
+    h = np.sort(rng.integers(1, 1 << 62, 9000).astype(np.uint64))
+    c = np.sort(rng.integers(2, 3000, 9000))[::-1]
     voc = maxent.Vocabulary(h, c, 50, 20)
-    k, n = voc.look(h)
-    each = (n + 1.0) / 10 ** voc.size[k]
-    for cls in range(maxent.CLASSES - 1):
-        mine = k == cls
-        assert not mine.any() or math.isclose(each[mine].sum() + 1 / 10 ** voc.size[cls], 1.0)
-    w = np.random.default_rng(0).normal(size=(maxent.FEATURES, maxent.BUCKETS + 1, maxent.CLASSES)).astype(np.float32)
-    feats = maxent._features(h, np.array([0, 5, 5, 39]))
-    assert np.allclose(np.exp(maxent._log_classes(w, feats)).sum(axis=1), 1, atol=1e-5)
+    voc.arrange(rng.integers(0, 50, (maxent.FRONT, 2 * maxent.NEIGHBOURS)).astype(float))
+    w = maxent.Weights(voc.classes, voc.inner_classes)
+    w.outer[:] = rng.normal(size=w.outer.shape)
+    w.inner[:] = rng.normal(size=w.inner.shape)
+    for context in ([], [int(h[5])], [int(h[5]), 12345]):
+        texts = [np.array([*context, x], np.uint64) for x in [*h.tolist(), 77]]
+        begin = np.cumsum([0, *map(len, texts)])
+        logs, _ = maxent.log_probability(voc, w, np.concatenate(texts), begin)
+        p = 10 ** logs[begin[1:] - 1]
+        assert math.isclose(p[:-1].sum() + p[-1] * (50 + 20 + 1), 1, rel_tol=1e-4)
 
 
 def test_toxicity_models_are_distributions_and_equal_brute_force(spark):
