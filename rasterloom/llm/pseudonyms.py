@@ -19,16 +19,20 @@ Defined results: a null text stays null with no finding; an empty one stays empt
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
 
 ROUNDS = 8
-#: Steps after which a walk has come back to its side but for one value in 10^8.
-WALK = 40
-#: Stands in where the session sets no spark.rasterloom.pseudonym.key; a deployment sets its own secret.
-KEY = "rasterloom demonstration key"
+#: Steps of a walk at the most. Of a date's days two in five are on either side of the 12th, so that a walk of n steps has a
+#: chance of 0.61^n: 10^-85 here. Steps after a walk's end cost nothing to speak of.
+WALK = 400
+#: The session's secret key.
+SETTING = "spark.rasterloom.pseudonym.key"
+_MARK = "rasterloom-key-"
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _SECRET = r"\b(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|[Aa]ccess[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)\b[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/.-]{8,}"
@@ -246,14 +250,23 @@ def _secret(x: Column, key: str, inverse: bool) -> Column:
 _RULES = (("email", _EMAIL, _email), ("secret", _SECRET, _secret), ("iban", _IBAN, _iban), ("ip", _IP, _ip), ("date", _DATE, _date), ("ssn", _SSN, _ssn), ("phone", _PHONE, _phone), ("card", _CARD, _card))
 
 
-def key_of(spark) -> str:
-    return spark.conf.get("spark.rasterloom.pseudonym.key", KEY)
+def _derived(spark, key: str | None) -> str:
+    """What the rounds are keyed with: a digest of the key behind a mark, which Spark redacts in plans, UI and logs."""
+    key = key or spark.conf.get(SETTING, None)
+    if not key:
+        raise ValueError(f"a secret key is needed: {SETTING} or the argument")
+    if not spark.conf.get("spark.sql.redaction.string.regex", None):
+        spark.conf.set("spark.sql.redaction.string.regex", _MARK + "[0-9a-f]+")
+    return _MARK + hashlib.sha256(key.encode()).hexdigest()
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", out: str = "findings", key: str | None = None, inverse: bool = False) -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` and a column ``out``: array<struct<kind, changed>> of what was found, in order."""
+    """``docs`` with pseudonyms in ``text`` and a column ``out``: array<struct<kind, changed>> of what was found, in order.
+
+    The key is the argument or the session's; without one this is an error, as anyone could undo a known key's work.
+    """
     out, hits, gaps, new = fresh(docs, out), *(fresh(docs, f"_fp_{k}") for k in ("hits", "gaps", "new"))
-    key = key or key_of(docs.sparkSession)
+    key = _derived(docs.sparkSession, key)
     t = F.col(text)
     df = docs.withColumn(hits, F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     some = F.size(hits) > 0

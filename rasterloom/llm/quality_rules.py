@@ -6,7 +6,8 @@ is lines that very many other documents of the same host carry too.
 Line rule: lines are normalised (white-space runs become one space, ends trimmed, lower case) and hashed. For
 each host the *distinct* documents (by text) with a line are counted, so that exact copies of one document count
 once. A line is frequent in a host if it is in more than ``min_docs`` of its distinct documents and in more than
-``max_permille`` thousandths of them. Frequent lines are removed; a document is depleted if fewer than
+``max_permille`` thousandths of them: a small share, so that boilerplate of a tenth, or of a fiftieth, of a host is met
+in every host, while lines that some dozens of near copies in a very large host share are left to near-duplicate removal. Frequent lines are removed; a document is depleted if fewer than
 ``min_words`` words remain, or if over ``max_removed_percent`` of its words went.
 
 Plan: the only things shuffled are line hashes with word counts, once per distinct (host, text), their counts by
@@ -28,7 +29,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_DOCS = 20
-MAX_PERMILLE = 100
+MAX_PERMILLE = 10
 MAX_REMOVED_PERCENT = 50
 
 

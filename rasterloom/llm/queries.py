@@ -6,6 +6,8 @@ columns from the operator's output.
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +59,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def demonstration_key(spark: SparkSession) -> str:
+    """The session's key, or for runs over synthetic tables one that everybody knows."""
+    if found := spark.conf.get(pseudonyms.SETTING, None):
+        return found
+    warnings.warn(f"{pseudonyms.SETTING} is not set: pseudonyms under a public key can be undone by anyone", stacklevel=2)
+    return "a key for synthetic data only"
+
+
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=demonstration_key(spark))
     changed = F.filter("findings", lambda x: x["changed"])
     return found.select("doc_id", "text", F.size("findings").cast("long").alias("n_found"), F.size(changed).cast("long").alias("n_changed"), F.array_join(F.transform(changed, lambda x: x["kind"]), ",").alias("kinds"))
 
@@ -142,7 +152,7 @@ norm AS (SELECT r, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')
 lines AS (SELECT r, host, t, line, len(string_split(line, ' ')) AS n FROM norm JOIN d USING (r) WHERE line <> ''),
 hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
 freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS c FROM lines GROUP BY host, line) JOIN hosts USING (host)
-         WHERE c > 20 AND 1000 * c > 100 * docs),
+         WHERE c > 20 AND 1000 * c > 10 * docs),
 lost AS (SELECT r, sum(n) AS n FROM lines SEMI JOIN freq USING (host, line) GROUP BY r),
 f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,

@@ -1,3 +1,5 @@
+import hashlib
+import pytest
 import re
 
 from rasterloom.llm import pseudonyms as p
@@ -56,4 +58,14 @@ def test_several_in_a_text_and_extra_columns(spark):
 
 
 def test_empty_table(spark):
-    assert p.pseudonymise(spark.createDataFrame([], "text string")).count() == 0
+    assert p.pseudonymise(spark.createDataFrame([], "text string"), key="k").count() == 0
+
+
+def test_no_key_is_an_error_and_keys_stay_out_of_plans(spark, capsys):
+    df = spark.createDataFrame([("call +1 (212) 555-0123",)], "text string")
+    if not spark.conf.get(p.SETTING, None):
+        with pytest.raises(ValueError):
+            p.pseudonymise(df)
+    p.pseudonymise(df, key="very secret").explain("formatted")
+    shown = capsys.readouterr().out
+    assert "very secret" not in shown and hashlib.sha256(b"very secret").hexdigest() not in shown and "text" in shown
