@@ -41,9 +41,9 @@ def tag_key(key: Column) -> Column:
 
 def first_tag(tags: Column, *names: str) -> Column:
     """The first of the named tags that has a value that is not blank; names are compared in plain form."""
-    plain = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(tags), lambda e: F.struct(tag_key(e["key"]).alias("key"), e["value"].alias("value")))))
-    value = lambda n: F.try_element_at(plain, tag_key(F.lit(n)))
-    return F.coalesce(*(F.when(F.trim(value(n)) != "", F.trim(value(n))) for n in names))
+    named = lambda n: F.transform(F.filter(F.map_entries(tags), lambda e: tag_key(e["key"]) == tag_key(F.lit(n))), lambda e: F.trim(e["value"]))
+    value = lambda n: F.get(F.filter(named(n), lambda v: v != ""), F.lit(0))
+    return F.coalesce(*(value(n) for n in names))
 
 
 def modality(tag: Column) -> Column:

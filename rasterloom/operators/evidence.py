@@ -75,6 +75,30 @@ def verify_measurements(nodes: DataFrame, recomputed: DataFrame) -> DataFrame:
     return met.select("evidence_id", outcome.alias("outcome"))
 
 
+def report(analyses: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """``analyses`` (analysis_id, ...) with ``evidence``: its evidence, newest first, each with its sorted artifacts.
+
+    Artifacts are grouped onto evidence before that onto analyses, so a row is as large as one analysis.
+    """
+    own = artifacts.groupBy("evidence_id").agg(F.sort_array(F.collect_list("artifact_id")).alias("artifacts"))
+    empty = F.array().cast(own.schema["artifacts"].dataType)
+    met = evidence.join(own, "evidence_id", "left").withColumn("artifacts", F.coalesce("artifacts", empty))
+    nested = met.groupBy("analysis_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "evidence_id", "task", "artifacts")), asc=False).alias("evidence"))
+    none = F.array().cast(nested.schema["evidence"].dataType)
+    return analyses.join(nested, "analysis_id", "left").withColumn("evidence", F.coalesce("evidence", none))
+
+
+def remapped(rows: DataFrame, mapping: DataFrame, parents: str = "parents") -> DataFrame:
+    """Cached evidence under new ids, by ``mapping`` (old, new): evidence_id and ``parents`` renamed, and ``miss``, which
+    tells that an id has no new one, so that the cached result may not be used."""
+    told = rows.join(mapping.select(F.col("old").alias("evidence_id"), F.col("new").alias("_own")), "evidence_id", "left")
+    named = told.select("*", F.posexplode_outer(parents).alias("_i", "_old")).join(mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new")), "_old", "left")
+    keys = [F.col(c) for c in rows.columns if c != parents]
+    each = named.groupBy(*keys, "_own").agg(F.sort_array(F.collect_list(F.when(F.col("_new").isNotNull(), F.struct("_i", "_new")))).alias("_x"), F.count("_i").alias("_n"))
+    found = F.transform("_x", lambda x: x["_new"])
+    return each.select(F.coalesce("_own", "evidence_id").alias("evidence_id"), *(c for c in rows.columns if c not in ("evidence_id", parents)), found.alias(parents), (F.col("_own").isNull() | (F.size("_x") < F.col("_n"))).alias("miss"))
+
+
 def insert_if_absent(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Rows to append: of each new key that does not exist yet, the first."""
     first = new.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")

@@ -84,7 +84,8 @@ def majority(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFr
 def distribution(rows: DataFrame, value: str) -> DataFrame:
     """Counts and shares of a value, the most frequent first."""
     counts = rows.groupBy(value).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    total = counts.agg(F.sum("n").alias("_all"))  # one row
+    return counts.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
 def exact_match(rows: DataFrame, kind: str, expected: Column, predicted: Column) -> DataFrame:
@@ -104,3 +105,18 @@ def metric_deltas(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFram
     met = a.select(key, F.col(metric).alias("first")).join(b.select(key, F.col(metric).alias("second")), key)
     met = met.withColumn("delta", F.col("second") - F.col("first"))
     return met.withColumn("change", F.when(F.col("delta") > 0, "improved").when(F.col("delta") < 0, "worse").otherwise("equal"))
+
+
+def running_best(rows: DataFrame, key: str, order: str, metric: str, patience: int | None = None) -> DataFrame:
+    """(key, best, best_at, stopped_at): the best metric up to where ``patience`` rows in order brought no better one.
+
+    A key's rows are a run of training or of a job, so a window by key is bounded by its length.
+    """
+    down = W.partitionBy(key).orderBy(order)
+    before = F.max(metric).over(down.rowsBetween(W.unboundedPreceding, -1))
+    seen = rows.withColumns({"_better": before.isNull() | (F.col(metric) > before), "_n": F.row_number().over(down)})
+    seen = seen.withColumn("_at", F.max(F.when(F.col("_better"), F.col("_n"))).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    if patience is not None:
+        late = F.min(F.when(F.col("_n") - F.col("_at") >= patience, F.col("_n"))).over(W.partitionBy(key))
+        seen = seen.withColumn("_stop", late).where(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop")))
+    return seen.groupBy(key).agg(F.max(metric).alias("best"), F.max_by(F.col(order), F.when(F.col("_better"), F.col("_n"))).alias("best_at"), F.max(order).alias("stopped_at"))

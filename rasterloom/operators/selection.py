@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,52 +69,80 @@ def proportional_target(count: Column, target: int, total: Column) -> Column:
     return F.floor((count * target + F.floor(total / 2)) / total).cast("long")
 
 
-def greedy_coverage(groups: DataFrame, target: int, floor: int, seed: str, labels: str = "labels", country: str = "country", size: str = "size", split: str = "split", group: str = "group_id") -> DataFrame:
-    """Groups taken whole, the one that closes most of what labels and countries lack first, until ``target`` rows.
+#: Fixed value: a label's or country's weight is this over its rows in the source, at least 1.
+SCALE = 1_000_000_000
+#: Groups that one round brings to the driver, and most labels and countries of all splits together.
+ROUND = 256
+MAX_GOALS = 10_000
 
-    ``labels`` is map<label, count>. The choice is sequential by nature, so each split is one task; what it gets is
-    one aggregated row a group, not the samples. Ties: the smaller seeded hash, then the id.
-    """
 
-    def run(pdf):
-        import hashlib
-
-        import pandas as pd
-
-        rows = [(r[group], dict(r[labels]), r[country], int(r[size])) for _, r in pdf.iterrows()]
-        name = pdf[split].iloc[0]
-        total = sum(r[3] for r in rows)
-        share = lambda n: (n * target + total // 2) // total
-        want: dict[tuple[str, str], int] = {}
-        for _, own, land, n in rows:
-            for label, c in own.items():
-                want["label", label] = want.get(("label", label), 0) + int(c)
-            want["country", land] = want.get(("country", land), 0) + n
-        want = {k: max(floor, share(v)) if k[0] == "label" else share(v) for k, v in want.items()}
-        weight = {k: max(1, max(want.values()) // max(1, v)) for k, v in want.items()}
-        have: dict[tuple[str, str], int] = {}
-
-        def gain(r):
-            parts = [(("label", k), int(c)) for k, c in r[1].items()] + [(("country", r[2]), r[3])]
-            lacking = [(weight[k], max(0, want[k] - have.get(k, 0)), c) for k, c in parts]
-            return sum(w * (d * d - max(0, d - c) ** 2) for w, d, c in lacking)
-
-        key = lambda r: hashlib.sha256(f"{seed}\0{name}\0{r[0]}".encode()).hexdigest()
-        # Gains only fall as rows are taken, so a stale one on the heap is an upper bound: refresh the top until it holds.
-        heap = [(-gain(r), key(r), i) for i, r in enumerate(rows)]
-        heapq.heapify(heap)
-        taken, n = [], 0
-        while heap and n < target:
-            _, h, i = heapq.heappop(heap)
-            now = -gain(rows[i])
-            if heap and (now, h, i) > heap[0]:
-                heapq.heappush(heap, (now, h, i))
-                continue
-            for k, c in [(("label", k), int(c)) for k, c in rows[i][1].items()] + [(("country", rows[i][2]), rows[i][3])]:
-                have[k] = have.get(k, 0) + c
-            taken.append((name, rows[i][0], len(taken), -now, rows[i][3]))
-            n += rows[i][3]
-        return pd.DataFrame(taken, columns=[split, group, "rank", "gain", size])
+def greedy_coverage(groups: DataFrame, target: int, floor: int, seed: str, labels: str = "labels", country: str = "country", size: str = "size", split: str = "split", group: str = "group_id", expected: tuple[str, ...] = ()) -> DataFrame:
+    """(split, group, rank, gain, size): groups taken whole, each time the one that most lessens what is lacking, until
+    ``target`` rows of a split are reached.
 
+    ``labels`` is map<label, count>. A label lacks its share of the target (at least ``floor``), a country its own (at
+    least 1). A group's gain is the sum, over its labels and its country, of the weight times the fall of the squared
+    lack. Ties: the smaller seeded hash, then the id. Refused: a split of fewer rows than the target, one without an
+    expected label, and labels that lack more than there is.
+
+    A round computes all gains in Spark and brings the best ``ROUND`` groups of each split to the driver. As gains only
+    fall, any group left behind is at most as good as the last one brought; so the driver goes on choosing among those
+    it has until the best of them falls behind that one. Only these groups and the goals are ever on the driver.
+    """
+    from ..sources.shared import cut_lineage
+
+    spark = groups.sparkSession
+    key = [F.col(split).cast("string").alias("s"), F.col(group).cast("string").alias("g")]
+    by_label = groups.select(*key, F.explode(labels).alias("name", "n")).select("s", "g", F.lit(True).alias("label"), "name", F.col("n").cast("long").alias("n")).where("n > 0")
+    by_country = groups.select(*key, F.lit(False).alias("label"), F.col(country).alias("name"), F.col(size).cast("long").alias("n"))
+    parts = cut_lineage(by_label.unionByName(by_country))
+    goals = parts.groupBy("s", "label", "name").agg(F.sum("n").alias("n")).limit(MAX_GOALS + 1).collect()
+    if len(goals) > MAX_GOALS:
+        raise ValueError(f"more than {MAX_GOALS} labels and countries")
+    rows: dict[str, int] = {}
+    for r in goals:
+        rows[r.s] = rows.get(r.s, 0) + (0 if r.label else r.n)
+    lack, weight = {}, {}
+    for r in goals:
+        share = (r.n * target + rows[r.s] // 2) // rows[r.s]
+        lack[r.s, r.label, r.name] = max(floor if r.label else 1, share)
+        weight[r.s, r.label, r.name] = max(1, SCALE // r.n)
+        if r.label and lack[r.s, r.label, r.name] > r.n:
+            raise ValueError(f"split {r.s} has too few rows of {r.name}")
+    for s, n in rows.items():
+        if n < target:
+            raise ValueError(f"split {s} has fewer rows than {target}")
+        if gone := [x for x in expected if (s, True, x) not in lack]:
+            raise ValueError(f"split {s} lacks the labels {gone}")
+
+    def gain(s: str, own: list) -> int:
+        return sum(weight[s, x.label, x.name] * (lack[s, x.label, x.name] ** 2 - max(0, lack[s, x.label, x.name] - x.n) ** 2) for x in own)
+
+    taken: list[tuple] = []
+    reached = dict.fromkeys(rows, 0)
+    while open_splits := {s for s, n in reached.items() if n < target}:
+        now = spark.createDataFrame([(*k, d, weight[k]) for k, d in lack.items() if k[0] in open_splits], "s string, label boolean, name string, d long, w long")
+        used = spark.createDataFrame([(t[0], t[1]) for t in taken], "s string, g string")
+        fall = F.col("w") * (F.col("d") * F.col("d") - F.pow(F.greatest(F.col("d") - F.col("n"), F.lit(0)), 2).cast("long"))
+        scored = parts.join(F.broadcast(used), ["s", "g"], "left_anti").join(F.broadcast(now), ["s", "label", "name"])
+        scored = scored.groupBy("s", "g").agg(F.sum(fall).alias("gain"), F.collect_list(F.struct("label", "name", "n")).alias("own"))
+        ranked = scored.withColumn("h", F.sha2(F.concat(F.lit(seed + "\0"), "s", F.lit("\0"), "g"), 256))
+        best = W.partitionBy("s").orderBy(F.col("gain").desc(), "h", "g")
+        brought = ranked.withColumn("i", F.row_number().over(best)).where(F.col("i") <= ROUND).orderBy("s", "i").collect()
+        for s in sorted(open_splits):
+            left = [r for r in brought if r.s == s]
+            last = (-left[-1].gain, left[-1].h, left[-1].g) if len(left) == ROUND else None
+            while left and reached[s] < target:
+                order = [(-gain(s, r.own), r.h, r.g) for r in left]
+                first = min(order)
+                if last is not None and first > last:
+                    break
+                r = left.pop(order.index(first))
+                for x in r.own:
+                    lack[s, x.label, x.name] = max(0, lack[s, x.label, x.name] - x.n)
+                many = sum(x.n for x in r.own if not x.label)
+                taken.append((s, r.g, sum(t[0] == s for t in taken), -first[0], many))
+                reached[s] += many
     kinds = dict(groups.dtypes)
-    return groups.groupBy(split).applyInPandas(run, f"{split} {kinds[split]}, {group} {kinds[group]}, rank int, gain long, {size} long")
+    out = spark.createDataFrame(taken, "s string, g string, rank int, gain long, n long")
+    return out.select(F.col("s").cast(kinds[split]).alias(split), F.col("g").cast(kinds[group]).alias(group), "rank", "gain", F.col("n").alias(size))

@@ -349,9 +349,9 @@ def split_leakage(spark, sf_dir):
     return S.leakage(read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 3).alias("split")), "o_custkey")
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT DISTINCT o_custkey AS c_custkey FROM orders) USING (c_custkey)")
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_orderpriority = '1-URGENT') USING (c_custkey)")
 def exclude_used_scenes(spark, sf_dir):
-    used = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    used = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return read(spark, sf_dir, "customer").select("c_custkey").join(used, "c_custkey", "left_anti")
 
 
@@ -389,7 +389,7 @@ def coverage_greedy_select(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("source", "lang", F.expr("n_chars div 1000").alias("cell"), F.pmod("doc_id", F.lit(3)).cast("string").alias("split"))
     by = d.groupBy("split", "source", "cell", "lang").agg(F.count("*").alias("c"))
     g = by.groupBy("split", F.concat_ws("_", "source", "cell").alias("group_id"), F.col("source").alias("country")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("labels"), F.sum("c").alias("size"))
-    return S.greedy_coverage(g, 100, 5, "seed")
+    return S.greedy_coverage(g, 50, 1, "seed")
 
 
 _ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', ' ', 'g')"
@@ -412,36 +412,29 @@ def _questions(spark, sf_dir):
     return n.select("n_nationkey", asked.alias("a")).select("n_nationkey", "a.i", "a.q")
 
 
-def _sql(condition) -> str:
-    if isinstance(condition, str):
-        return "regexp_matches(t, '" + condition.replace("'", "''") + "')"
-    kind, *parts = condition
-    return f"NOT {_sql(parts[0])}" if kind == "not" else "(" + f" {kind.upper()} ".join(map(_sql, parts)) + ")"
-
-
-def _case(rules, last: str) -> str:
-    return "CASE " + " ".join(f"WHEN {_sql(c)} THEN " + (f"'{v}'" if v else "NULL") for c, v in rules) + f" ELSE {last} END"
-
-
-_SET = lambda names: ", ".join(f"'{n}'" for n in sorted(names))
+# What each question of _ASKED is, read off by hand: rule, family, target, measurement, direction, spatial.
+_READ = """(VALUES
+    (0, 'area_measurement', 'CHANGE_MEASURE', NULL, 'area', 'T2_TO_T1', true), (1, 'index_ndvi', 'MEASURE', 'ndvi', 'ndvi', NULL, true),
+    (2, 'optical_sar_comparison', 'CROSS_MODAL_VQA', 'sar', NULL, NULL, false), (3, 'grounding_request', 'GROUND_OBJECT', 'water', NULL, NULL, true),
+    (4, 'change_description', 'CHANGE_DESCRIPTION', 'water', NULL, 'UNKNOWN', false), (5, 'water_change_localization', 'CHANGE_LOCALIZE', 'water', NULL, 'T1_TO_T2', true),
+    (6, 'capability_question', 'CAPABILITY_QUERY', NULL, NULL, NULL, false), (7, 'metadata_question', 'METADATA_QUERY', NULL, NULL, NULL, false),
+    (8, 'negation', 'AMBIGUOUS', NULL, NULL, NULL, false), (9, 'ambiguous_bank', 'AMBIGUOUS', 'bank', NULL, NULL, false),
+    (10, 'single_image_question', 'SINGLE_VQA', 'road', NULL, NULL, false), (11, 'prompt_injection', 'AMBIGUOUS', NULL, NULL, NULL, false),
+    (12, 'no_matching_rule', 'AMBIGUOUS', NULL, NULL, NULL, false), (13, 'conflicting_intents', 'AMBIGUOUS', NULL, 'area', 'UNKNOWN', true),
+    (14, 'temporal_change_question', 'CHANGE_VQA', NULL, NULL, 'UNKNOWN', false), (15, 'temporal_change_question', 'CHANGE_VQA', 'building', NULL, 'T2_TO_T1', false))
+    r(i, matched_rule, task_family, target_semantic, requested_measurement, temporal_direction, spatial_request)"""
 
 
-@query(
-    f"""WITH a AS (SELECT n_nationkey, i, lower(replace(q, '{{}}', n_name)) AS t FROM nation, (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(_ASKED))}) v(i, q)),
-    r AS (SELECT *, {_case([(c, r) for c, r, _ in I.RULES], "'no_matching_rule'")} AS rule FROM a)
-    SELECT n_nationkey, i, rule AS matched_rule,
-      CASE {" ".join(f"WHEN rule = '{r}' THEN " + (f"CASE WHEN {_sql(I.TEMPORAL)} THEN 'CHANGE_MEASURE' ELSE 'MEASURE' END" if f == "MEASURE" else f"'{f}'") for _, r, f in I.RULES)} ELSE 'AMBIGUOUS' END AS task_family,
-      CASE WHEN rule = 'ambiguous_bank' THEN 'bank' WHEN rule = 'water_change_localization' THEN 'water' WHEN rule NOT IN ({_SET(I.NO_TARGET)}) THEN {_case(I.TARGET, "NULL")} END AS target_semantic,
-      CASE WHEN rule IN ({_SET(I.MEASURES)}) THEN {_case(I.MEASUREMENT, "NULL")} END AS requested_measurement,
-      CASE WHEN rule IN ({_SET(I.DIRECTED)}) THEN {_case(I.DIRECTION, "'UNKNOWN'")} END AS temporal_direction,
-      rule IN ({_SET(I.SPATIAL)}) OR (rule IN ('ambiguous_bank', 'temporal_change_question') AND {_sql(I.GROUND)}) AS spatial_request FROM r"""
-)
+@query(f"SELECT n_nationkey, r.* FROM nation, {_READ}")
 def interpret_queries(spark, sf_dir):
     q = _questions(spark, sf_dir).withColumn("x", I.interpret(F.col("q")))
     return q.select("n_nationkey", "i", *(F.col(f"x.{c}") for c in ("matched_rule", "task_family", "target_semantic", "requested_measurement", "temporal_direction", "spatial_request")))
 
 
-@query(None)
+@query(
+    f"""SELECT n_nationkey, i, task_family, CASE WHEN task_family IN ('CROSS_MODAL_VQA', 'GROUND_OBJECT', 'CHANGE_DESCRIPTION', 'SINGLE_VQA') OR requested_measurement = 'ndvi' THEN 'REJECT'
+      WHEN task_family LIKE 'CHANGE%' AND n_nationkey % 3 = 0 THEN 'REQUEST_INPUT' ELSE 'ALLOW' END AS outcome FROM nation, {_READ}"""
+)
 def feasibility_matrix(spark, sf_dir):
     """What each intent calls for against what is available: the worst outcome of all checks."""
     q = _questions(spark, sf_dir).withColumn("x", I.interpret(F.col("q"))).select("n_nationkey", "i", "x.*")
@@ -485,9 +478,9 @@ def keyset_page(spark, sf_dir):
     return E.page(o, "o_orderdate", "o_orderkey", 100, (last.o_orderdate, last.o_orderkey)).withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
 
 
-@query("SELECT l.l_orderkey, l.l_linenumber, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_custkey % 10 = 3 AND o.o_orderstatus = 'F'")
+@query("SELECT l.l_orderkey, l.l_linenumber, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F'")
 def trace_join(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_custkey % 10 = 3 and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    o = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(o, "l_orderkey")
 
 
@@ -497,9 +490,15 @@ def analyses_filter(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(used, "c_custkey", "left_semi")
 
 
-@query("WITH g AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT conv_id, turn FROM g WHERE turn <> coalesce(p + 1, 0)")
+@query(
+    """WITH e AS (SELECT l_orderkey AS k, l_linenumber - 1 + CASE WHEN l_orderkey % 5 = 0 AND l_linenumber > 2 THEN 1 ELSE 0 END AS n FROM lineitem),
+    g AS (SELECT k, n, lag(n) OVER (PARTITION BY k ORDER BY n) AS p FROM e) SELECT k, n FROM g WHERE n <> coalesce(p + 1, 0)"""
+)
 def event_contiguity(spark, sf_dir):
-    return E.sequence_gaps(read(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn").select("conv_id", "turn")
+    """Line numbers as sequences, with a number left out in every fifth order of over two lines."""
+    skipped = F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") > 2), 1).otherwise(0)
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") - 1 + skipped).alias("n"))
+    return E.sequence_gaps(e, "k", "n").select("k", "n")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
@@ -538,21 +537,24 @@ def _nodes(spark, sf_dir):
 
 
 @query(
-    """SELECT 's' || s_suppkey AS evidence_id, CASE WHEN s_suppkey % 4 = 0 THEN 'NOT_RECOMPUTED' WHEN s_suppkey % 4 = 1 THEN 'VALUE_MISMATCH' ELSE 'VALID' END AS outcome FROM supplier"""
+    """SELECT 's' || s_suppkey AS evidence_id, CASE WHEN s_suppkey % 7 = 5 THEN 'MISSING_SOURCE' WHEN s_suppkey % 7 = 6 THEN 'WRONG_SOURCE_TYPE'
+      WHEN s_suppkey % 4 = 0 THEN 'NOT_RECOMPUTED' WHEN s_suppkey % 4 = 1 THEN 'VALUE_MISMATCH' ELSE 'VALID' END AS outcome FROM supplier"""
 )
 def evidence_verify(spark, sf_dir):
     n = _nodes(spark, sf_dir)
     value = F.when(F.col("task") == "measurement", F.substring("evidence_id", 2, 20).cast("double"))
     again = n.where("task = 'measurement'").select("evidence_id", value.alias("v")).where("v % 4 <> 0").select("evidence_id", (F.col("v") + F.when(F.col("v") % 4 == 1, 0.5).otherwise(0.0)).alias("value"))
-    return E.verify_measurements(n.withColumn("value", value), again)
+    n = n.withColumn("value", value)
+    source = F.when(F.col("value") % 7 == 5, "nowhere").when(F.col("value") % 7 == 6, F.col("evidence_id")).otherwise(F.col("source_evidence_id"))
+    return E.verify_measurements(n.withColumn("source_evidence_id", source), again)
 
 
-@query("SELECT 'n' || n_nationkey AS node FROM nation WHERE n_nationkey < 3")
+@query("SELECT 'n' || n_nationkey AS node FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_nationkey < 3")
 def cycle_check(spark, sf_dir):
-    edges = _nodes(spark, sf_dir)
-    edges = E.derive_edges(edges).select("source", "target")
+    """Three nations in a loop, and the suppliers that hang downstream of them."""
+    edges = E.derive_edges(_nodes(spark, sf_dir)).select("source", "target")
     loop = spark.createDataFrame([("n0", "n1"), ("n1", "n2"), ("n2", "n0")], "source string, target string")
-    return E.on_cycles(loop.unionByName(edges.where("source not like 'n%'")))
+    return E.on_cycles(loop.unionByName(edges))
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha FROM documents GROUP BY sha256(text)")
@@ -561,12 +563,21 @@ def idempotent_dedupe(spark, sf_dir):
     return E.insert_if_absent(d.limit(0), d, "sha", "doc_id").select("doc_id", "sha")
 
 
-@query(None)
+@query(
+    """WITH o AS (SELECT o_custkey AS c_custkey, count(*) AS n_orders, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderdate DESC, o_orderkey DESC) AS orders FROM orders GROUP BY 1),
+    l AS (SELECT o_custkey AS c_custkey, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+    SELECT c_custkey, c_name AS name, coalesce(n_orders, 0) AS n_orders, coalesce(n_lines, 0) AS n_lines, coalesce(orders, '') AS orders FROM customer LEFT JOIN o USING (c_custkey) LEFT JOIN l USING (c_custkey)"""
+)
 def report_nested(spark, sf_dir):
-    """One nested row a customer: its orders, newest first."""
-    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")), False).alias("orders"))
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), X.html_escape(F.col("c_name")).alias("name"))
-    return c.join(o, "o_custkey", "left")
+    """A report a customer: its orders as evidence, newest first, and their lines as artifacts."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("analysis_id"), X.html_escape(F.col("c_name")).alias("name"))
+    evidence = o.select(F.col("o_custkey").alias("analysis_id"), F.col("o_orderkey").alias("evidence_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("task"))
+    artifacts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), F.col("l_linenumber").alias("artifact_id"))
+    r = E.report(c, evidence, artifacts)
+    told = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["evidence_id"].cast("string"), e["task"])), ",")
+    n_lines = F.aggregate("evidence", F.lit(0).cast("long"), lambda s, e: s + F.size(e["artifacts"]))
+    return r.select(F.col("analysis_id").alias("c_custkey"), "name", F.size("evidence").cast("long").alias("n_orders"), n_lines.alias("n_lines"), told.alias("orders"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -582,6 +593,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["change_area_answer"] = flagship
+ORACLE_SQL["change_area_answer"] = f"""WITH {_FOUR}, s AS (SELECT tile, CASE WHEN p1 + p2 + q1 + q2 IS NOT NULL THEN greatest(abs(p2 - p1), abs(q2 - q1)) END AS s FROM f),
+    k AS (SELECT tile, count(*) FILTER (s >= 0.1) AS p, count(s) AS v FROM s GROUP BY tile)
+    SELECT CAST(tile AS BIGINT) AS tile, p AS positives, v AS valid, p * 10000 AS area_ha, true AS verified, printf('The changed area is %.2f ha.', p / 100.0) AS answer FROM k"""
 
 
 @query(
@@ -646,8 +660,8 @@ def stream_event_tail(spark, sf_dir):
     from .streaming.events import event_stream, run_to_table, tail
 
     rows = event_stream(spark, sf_dir, read(spark, sf_dir, "events").schema, only="events.parquet").select("event_id", "user_id", F.col("event_id").alias("sequence"))
-    name = f"tail_{uuid.uuid4().hex}"
-    return run_to_table(tail(rows, after=500), name, f"{shared_folder(spark)}/{name}").select("event_id", "user_id")
+    folder = f"{shared_folder(spark)}/tail_{uuid.uuid4().hex}"
+    return run_to_table(tail(rows, after=500), f"{folder}/rows", f"{folder}/checkpoint").select("event_id", "user_id")
 
 
 @query(
@@ -675,3 +689,6 @@ def metric_deltas(spark, sf_dir):
     d = _decisions(spark, sf_dir)
     scored = lambda t: M.confusion(d, ["lang"], threshold=t).select("lang", M.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
     return M.metric_deltas(scored(0.3), scored(0.6), "lang", "f1").select("lang", N.micro(F.col("delta")).alias("delta"), "change")
+
+
+from . import record_queries  # noqa: E402, F401  registers its queries here

@@ -72,9 +72,9 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, "job_id string, sequence long, event_type string, payload string, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
     df.write.parquet(str(tmp_path / "events"))
     stream = V.event_stream(spark, str(tmp_path / "events"), df.schema)
-    assert V.run_to_table(V.tail(stream, "a", 0), "tailed", str(tmp_path / "c1")).count() == V.tail(df, "a", 0).count() == 2
-    got = {r.job_id: (r.events, r.last, r.state, r.gap) for r in V.run_to_table(V.open_jobs(stream), "open_jobs", str(tmp_path / "c2"), "update").collect()}
+    assert V.run_to_table(V.tail(stream, "a", 0), str(tmp_path / "tailed"), str(tmp_path / "c1")).count() == V.tail(df, "a", 0).count() == 2
+    got = {r.job_id: (r.events, r.last, r.state, r.gap) for r in V.run_to_table(V.open_jobs(stream), str(tmp_path / "open_jobs"), str(tmp_path / "c2"), "update").collect()}
     assert got == {"a": (3, "SUCCEEDED", "CLOSED", False), "b": (2, "RUNNING", "OPEN", True)}
-    counts = V.run_to_table(V.windowed_counts(stream, "ts", "1 minute", "10 minutes", "job_id"), "counts", str(tmp_path / "c3"), "complete")
+    counts = V.run_to_table(V.windowed_counts(stream, "ts", "1 minute", "10 minutes", "job_id"), str(tmp_path / "counts"), str(tmp_path / "c3"), "complete")
     assert counts.agg(F.sum("n")).first()[0] == 5
     assert V.frames(df).where("job_id = 'a' and sequence = 0").first().frame == "id: 0\nevent: QUEUED\ndata: {}\n\n"
