@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_events, cotrain, decontaminate, hilbert_shards, maxent, pseudonyms, quality_rules, simhash, toxicity
+from . import byte_bpe, chat_events, cotrain, decontaminate, divergence, hard_negatives, hilbert_shards, maxent, pseudonyms, quality_rules, simhash, substrings, toxicity
 from .common import table
 
 
@@ -164,6 +164,77 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM g
 """
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, own = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(own % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = e.select(own.alias("id"), label.alias("label"), hard_negatives.whole(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+OP11_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(coalesce(list_inner_product(a.v, b.v), 0) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i+49], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS least FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, i FROM win JOIN firsts USING (g) WHERE least < doc_id),
+gone AS (SELECT DISTINCT r, i + k AS i FROM hit, range(0, 50) AS o(k)),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS s, count(*) AS n FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+x AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+g AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM x SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+own AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (coalesce(own.total, 0) + 5 * size.v) AS p,
+         1 + (CAST(1000000000 AS HUGEINT) * (k.n + 5)) // (size.total + 5 * size.v) AS q
+  FROM g JOIN kept k ON k.lang = g.lang JOIN size ON size.lang = g.lang
+    LEFT JOIN own ON own.lang = g.lang AND own.source = g.source
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM dense WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -175,10 +246,16 @@ QUERIES = {
     "op8_maxent": op8_maxent,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_substrings": op12_substrings,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
     "op6_chat_events": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_substrings": OP12_SQL,
+    "op13_divergence": OP13_SQL,
 }
