@@ -113,8 +113,8 @@ def _texts(rows: DataFrame) -> DataFrame:
                 text, *_, key = anchors([t.split() for t in texts], memo)
                 some, row = np.unique(text, return_inverse=True)
                 if len(some):
-                    part = b.take(pa.array(at + some))
-                    yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(key, row, len(some), pa.int64())], ["_t1", "_t2", "_owner", "keys"])
+                    part = b.select([0, 1, 2]).take(pa.array(at + some))
+                    yield pa.RecordBatch.from_arrays([*part.columns, _lists(key, row, len(some), pa.int64())], ["_t1", "_t2", "_owner", "keys"])
 
     found = rows.where("_owner is not null").mapInArrow(run, T.StructType([T.StructField("_t1", T.LongType()), T.StructField("_t2", T.LongType()), T.StructField("_owner", kind), T.StructField("keys", T.ArrayType(T.LongType()))]))
     return found.groupBy("_t1", "_t2").agg(F.min("_owner").alias("_owner"), F.first("keys").alias("keys"))
@@ -137,9 +137,9 @@ def _segments(rows: DataFrame) -> DataFrame:
                 keep = np.array([p in have for p in zip(text.tolist(), key.tolist())], bool)
                 text, first, last, place, key = text[keep], first[keep], last[keep], place[keep], key[keep]
                 cut = [b" ".join(words[t][f : e + WINDOW]) for t, f, e in zip(text.tolist(), first.tolist(), last.tolist())]
-                part = b.take(pa.array(at + text))
+                part = b.select([0, 1, 2]).take(pa.array(at + text))
                 more = (pa.array(first, pa.int32()), pa.array(last - first + 1, pa.int32()), pa.array(key, pa.int64()), pa.array(place - first, pa.int32()), pa.array(cut, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *more], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], schema.names)
 
     return rows.mapInArrow(run, schema)
 
