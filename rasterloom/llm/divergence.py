@@ -9,8 +9,8 @@ Steps: each text's matches are exploded once, with a mark for a term's first mat
 (lang, source, term) before the shuffle; groups are crossed with their language's vocabulary; a self-join on language
 and term sums |p - q| by pair of sources (each pair once, then mirrored); windows rank.
 
-What moves: counts by (lang, source, term), once for the vocabulary and once for the dense table; the join of pairs is
-summed before it is shuffled. The crossing is by language and a hash of the term in ``SALTS`` parts, so that a
+What moves: counts by (lang, source, term), to count them, for the vocabulary and to choose those of kept terms; the join
+of pairs is summed before it is shuffled. The crossing is by language and a hash of the term in ``SALTS`` parts, so that a
 language of most rows is spread. Shares are computed in decimals, so that counts beyond 9e9 are exact.
 
 Defined results: null text, lang and source are ''; a text without terms still makes its group; repeated rows count as
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, discard, written
 
 #: Runs of letters: no ASCII character other than A-Z and a-z.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,10 +40,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (matches), docs (documents with the term); a null term for each group, with its documents."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     terms = docs.select(text("lang").alias("lang"), text("source").alias("source"), F.regexp_extract_all(F.translate(text("text"), _UPPER, _LOWER), F.lit(f"({TERM})"), F.lit(1)).alias("t"))
-    mark = lambda t, n, first: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(first).cast("long").alias("first"))
-    rows = F.concat(F.transform("t", lambda t: mark(t, 1, 0)), F.transform(F.array_distinct("t"), lambda t: mark(t, 0, 1)), F.array(mark(F.lit(None).cast("string"), 0, 1)))
-    each = terms.select("lang", "source", F.explode(rows).alias("x"))
-    return each.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum("x.first").alias("docs"))
+    # All matches, then each term once, then one null: what a row is, its place tells.
+    each = terms.select("lang", "source", F.size("t").alias("all"), F.posexplode(F.concat("t", F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("at", "term"))
+    once = F.col("term").isNotNull() & (F.col("at") >= F.col("all"))
+    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("at") < F.col("all")).alias("n"), F.count_if(once).alias("docs"))
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -58,18 +58,18 @@ def _ranked(rows: DataFrame, part: str) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank; ``docs`` has lang, source and text."""
-    counts = cut_lineage(term_counts(docs))
+    counts, path = written(term_counts(docs), "term_counts")
     groups = counts.where("term is null").select("lang", "source")
     vocabulary = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     vocabulary = cut_lineage(vocabulary.select("lang", "term", "all_n"))
     totals = vocabulary.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("all_total"))
-    own = counts.where("term is not null").join(vocabulary, ["lang", "term"]).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    kept = cut_lineage(counts.where("term is not null").select("lang", "source", "term", "n").join(vocabulary.select("lang", "term"), ["lang", "term"]))
+    own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     # Groups with their figures, a copy for each part of the vocabulary.
     sized = groups.join(totals, "lang").join(own, ["lang", "source"], "left").select("lang", "source", "v", "all_total", F.coalesce("total", F.lit(0)).alias("total"))
     sized = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     crossed = vocabulary.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(sized, ["lang", "salt"])
-    seen = counts.where("term is not null").select("lang", "source", "term", "n")
-    dense = crossed.join(seen, ["lang", "source", "term"], "left").select(
+    dense = crossed.join(kept, ["lang", "source", "term"], "left").select(
         "lang",
         "source",
         "term",
@@ -77,7 +77,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
         _share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("v")).alias("p"),
         _share(F.col("all_n"), F.col("all_total"), F.col("v")).alias("q"),
     )
-    dense = cut_lineage(dense)
+    dense, groups = cut_lineage(dense), cut_lineage(groups)
+    discard(docs.sparkSession, path)
     other = dense.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("other_p"))
     pairs = dense.join(other, ["lang", "term"]).where(F.col("source") < F.col("other"))
     pairs = pairs.groupBy("lang", "source", "other").agg(F.sum(F.abs(F.col("p") - F.col("other_p"))).alias("value"))
