@@ -96,9 +96,9 @@ def scale_box(box: Column, x: Column, y: Column) -> Column:
     return F.struct((box["x1"] * x).alias("x1"), (box["y1"] * y).alias("y1"), (box["x2"] * x).alias("x2"), (box["y2"] * y).alias("y2"))
 
 
-def fitted_size(width: Column, height: Column, side: int) -> Column:
-    """Size within a square, by one ratio, halves to even, at least 1."""
-    ratio = F.lit(float(side)) / F.greatest(width, height)
+def fitted_size(width: Column, height: Column, most_width: int, most_height: int | None = None) -> Column:
+    """struct(width, height) of an image within a box (or a square), by one ratio, halves to even, at least 1."""
+    ratio = F.least(F.lit(float(most_width)) / width, F.lit(float(most_height or most_width)) / height)
     return F.struct(F.greatest(F.lit(1), F.rint(width * ratio).cast("int")).alias("width"), F.greatest(F.lit(1), F.rint(height * ratio).cast("int")).alias("height"))
 
 

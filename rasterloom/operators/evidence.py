@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_close
+from ..functions.text import cursor
+from ..sources.shared import cut_lineage
+from .ranks import numbered
 
 # Which state may follow which.
 JOB_TRANSITIONS = {
@@ -48,8 +51,6 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 
     Rounds are as many as the longest chain (plans of some steps); each is one anti-join, checkpointed.
     """
-    from ..sources.shared import cut_lineage
-
     left = cut_lineage(edges.select("source", "target").distinct())
     n = left.count()
     while n:
@@ -88,15 +89,32 @@ def report(analyses: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> Da
     return analyses.join(nested, "analysis_id", "left").withColumn("evidence", F.coalesce("evidence", none))
 
 
-def remapped(rows: DataFrame, mapping: DataFrame, parents: str = "parents") -> DataFrame:
-    """Cached evidence under new ids, by ``mapping`` (old, new): evidence_id and ``parents`` renamed, and ``miss``, which
-    tells that an id has no new one, so that the cached result may not be used."""
-    told = rows.join(mapping.select(F.col("old").alias("evidence_id"), F.col("new").alias("_own")), "evidence_id", "left")
-    named = told.select("*", F.posexplode_outer(parents).alias("_i", "_old")).join(mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new")), "_old", "left")
-    keys = [F.col(c) for c in rows.columns if c != parents]
-    each = named.groupBy(*keys, "_own").agg(F.sort_array(F.collect_list(F.when(F.col("_new").isNotNull(), F.struct("_i", "_new")))).alias("_x"), F.count("_i").alias("_n"))
-    found = F.transform("_x", lambda x: x["_new"])
-    return each.select(F.coalesce("_own", "evidence_id").alias("evidence_id"), *(c for c in rows.columns if c not in ("evidence_id", parents)), found.alias(parents), (F.col("_own").isNull() | (F.size("_x") < F.col("_n"))).alias("miss"))
+#: The fields of a node that name other evidence, besides its parents.
+REFERENCES = ("source_evidence_id", "first_evidence_id", "second_evidence_id")
+
+
+def remapped(nodes: DataFrame, replayed: DataFrame) -> DataFrame:
+    """Nodes of cached payloads under new ids: ``nodes`` with evidence_id, parents and the fields ``REFERENCES`` renamed, and ``miss``.
+
+    nodes: payload, evidence_id, new_id, parents (an array) and ``REFERENCES``; replayed: (old, new), the ids that were
+    renamed before. A reference is looked up among the payload's own nodes first, then among the replayed ones. One that
+    is found in neither makes the whole payload a miss: its step must run again, so all references of its nodes are null.
+    """
+    ref = lambda slot, i, c: F.struct(F.lit(slot).alias("slot"), i.alias("i"), c.alias("old"))
+    fields = F.filter(F.array(*(ref(c, F.lit(0), F.col(c)) for c in REFERENCES)), lambda r: r["old"].isNotNull())
+    parents = F.transform(F.coalesce("parents", F.array().cast("array<string>")), lambda p, i: ref("parents", i, p))
+    asked = nodes.select("payload", "evidence_id", F.explode(F.concat(fields, parents)).alias("r")).select("payload", "evidence_id", "r.*")
+    own = nodes.select("payload", F.col("evidence_id").alias("old"), F.col("new_id").alias("_own")).distinct()
+    told = asked.join(own, ["payload", "old"], "left").join(replayed.select("old", F.col("new").alias("_new")), "old", "left").withColumn("new", F.coalesce("_own", "_new"))
+    missed = told.where("new is null").select("payload").distinct().withColumn("_miss", F.lit(True))
+    each = told.groupBy("payload", "evidence_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("slot") == "parents", F.struct("i", "new")))).alias("_p"), *(F.max(F.when(F.col("slot") == c, F.col("new"))).alias(f"_{c}") for c in REFERENCES)
+    )
+    met = nodes.join(each, ["payload", "evidence_id"], "left").join(missed, "payload", "left")
+    whole = F.col("_miss").isNull()
+    names = F.coalesce(F.transform("_p", lambda p: p["new"]), F.array().cast("array<string>"))
+    renamed = {"evidence_id": F.col("new_id"), "parents": F.when(whole, names), **{c: F.when(whole, F.col(f"_{c}")) for c in REFERENCES}}
+    return met.select(*(renamed.get(c, F.col(c)).alias(c) for c in nodes.columns if c != "new_id"), (~whole).alias("miss"))
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -115,6 +133,33 @@ def page(df: DataFrame, time: str, key: str, size: int, before: tuple | None = N
     return df.orderBy(F.col(time).desc(), F.col(key).desc()).limit(size)
 
 
+def next_cursor(rows: DataFrame, time: str, key: str, size: int) -> DataFrame:
+    """One row, ``cursor``: where the page after ``rows`` (a page of at most 100) begins; null where the page is not full."""
+    last = F.min_by(F.struct(F.col(time).alias("t"), F.col(key).alias("k")), F.struct(F.col(time), F.col(key)))
+    found = rows.agg(F.count("*").alias("n"), last.alias("x"))
+    return found.select(F.when(F.col("n") == size, cursor(F.col("x.t"), F.col("x.k"))).alias("cursor"))
+
+
+def cached(keys: DataFrame, entries: DataFrame, files: DataFrame) -> DataFrame:
+    """``keys`` (cache_key) with hit and payload (text): what a store of results (cache_key, payload: JSON) holds for them.
+
+    files: (artifact_id, sha256), hashed again when they are read. Any doubt is a miss: a key that is no digest, a
+    payload that is no object, an artifact without a name or a hash, or one whose file is not there or has another hash.
+    """
+    held = keys.join(entries.select("cache_key", "payload"), "cache_key", "left")
+    parsed = held.withColumn("_v", F.try_parse_json("payload"))
+    listed = F.try_variant_get("_v", "$.artifacts", "array<variant>")
+    parsed = parsed.withColumn("_a", F.transform(listed, lambda a: F.struct(F.try_variant_get(a, "$.artifact_id", "string").alias("id"), F.try_variant_get(a, "$.sha256", "string").alias("sha"))))
+    # An entry that is there but no list counts as doubtful too.
+    odd = F.col("_a").isNull() & F.try_variant_get("_v", "$.artifacts", "variant").isNotNull() & ~F.coalesce(F.is_variant_null(F.try_variant_get("_v", "$.artifacts", "variant")), F.lit(True))
+    fine = F.col("cache_key").rlike(r"\A[0-9a-f]{64}\z") & F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)) & ~odd
+    parsed = parsed.withColumn("_fine", F.coalesce(fine, F.lit(False)))
+    asked = parsed.where("_fine").select("cache_key", F.explode("_a").alias("a")).select("cache_key", F.col("a.id").alias("artifact_id"), F.col("a.sha").alias("sha256"))
+    broken = asked.join(files.select("artifact_id", "sha256").distinct().withColumn("_there", F.lit(True)), ["artifact_id", "sha256"], "left").where("_there is null").select("cache_key").distinct().withColumn("_broken", F.lit(True))
+    met = parsed.join(broken, "cache_key", "left").withColumn("hit", F.col("_fine") & F.col("_broken").isNull())
+    return met.select(*keys.columns, "hit", F.when(F.col("hit"), F.col("payload")).alias("payload"))
+
+
 def sequence_gaps(events: DataFrame, key: str, sequence: str) -> DataFrame:
     """Events whose sequence does not follow the one before it (the first must be 0)."""
     last = F.lag(sequence).over(W.partitionBy(key).orderBy(sequence))
@@ -157,13 +202,12 @@ def interrupted(jobs: DataFrame) -> DataFrame:
 
 
 def derangement(keys: DataFrame, key: str, shift: int = 1) -> DataFrame:
-    """(key, other): each key with the one ``shift`` places after it, round the end; no key meets itself if there are two.
-
-    Places come from one ordered window: for the bounded tables of evaluation scenes.
-    """
-    placed = keys.select(key).distinct().withColumn("_i", F.row_number().over(W.orderBy(key)) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
+    """(key, other): each key with the one ``shift`` places after it, round the end; no key meets itself if there are two
+    and the shift is no multiple of their number. Places are counted in ranges of the keys, in several tasks."""
+    placed = cut_lineage(numbered(keys.select(key).distinct(), [F.col(key)], "_i"))
+    n = placed.count()
     other = placed.select(F.col(key).alias("other"), F.col("_i").alias("_j"))
-    return placed.withColumn("_j", (F.col("_i") + shift) % F.col("_n")).join(other, "_j").select(key, "other")
+    return placed.withColumn("_j", (F.col("_i") + shift) % F.lit(max(n, 1))).join(other, "_j").select(key, "other")
 
 
 def transition(rows: DataFrame, key: str, expected: str, new: str, moved: DataFrame, table: dict[str, tuple[str, ...]], at: Column) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_text
+from .ranks import running
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -31,12 +34,15 @@ def multilabel_f1(decisions: DataFrame, label: str, **how) -> DataFrame:
 def average_precision(decisions: DataFrame, key: str, target: str = "target", score: str = "score") -> DataFrame:
     """Step-wise average precision with tied scores taken together; 0 without positives.
 
-    Rows are counted by (key, score) first, so the window runs over distinct scores only.
+    Rows are counted by (key, score) first. The sums down the scores run over the table of all keys, in ranges of it
+    (``ranks.running``), less what the keys before hold: a key of very many scores takes several tasks.
     """
-    tied = decisions.groupBy(key, score).agg(F.sum(target).alias("tp"), F.count("*").alias("n"))
-    down = W.partitionBy(key).orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = tied.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down), "all": F.sum("tp").over(W.partitionBy(key))})
-    return run.groupBy(key).agg(F.coalesce(F.sum(F.try_divide(F.col("tp"), F.col("all")) * F.col("ctp") / F.col("cn")), F.lit(0.0)).alias("ap"))
+    tied = decisions.groupBy(key, score).agg(F.sum(target).cast("long").alias("tp"), F.count("*").alias("n"))
+    run = running(tied, [F.col(key).asc(), F.col(score).desc()], {"ctp": F.col("tp"), "cn": F.col("n")})
+    before = run.groupBy(F.col(key).alias("_k")).agg(F.min(F.col("ctp") - F.col("tp")).alias("_tp"), F.min(F.col("cn") - F.col("n")).alias("_n"), F.sum("tp").alias("_all"))
+    met = run.join(before, F.col(key).eqNullSafe(F.col("_k")))
+    gain = F.try_divide(F.col("tp"), F.col("_all")) * (F.col("ctp") - F.col("_tp")) / (F.col("cn") - F.col("_n"))
+    return met.groupBy(key).agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("ap"))
 
 
 def paired_correctness(a: Column, b: Column, target: Column) -> list[Column]:
@@ -107,16 +113,45 @@ def metric_deltas(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFram
     return met.withColumn("change", F.when(F.col("delta") > 0, "improved").when(F.col("delta") < 0, "worse").otherwise("equal"))
 
 
-def running_best(rows: DataFrame, key: str, order: str, metric: str, patience: int | None = None) -> DataFrame:
-    """(key, best, best_at, stopped_at): the best metric up to where ``patience`` rows in order brought no better one.
+def running_best(rows: DataFrame, key: str, order: str, metric: str, patience: int | None = None, min_delta: float = 0.0) -> DataFrame:
+    """(key, best, best_at, stopped_at): the best metric up to where more than ``patience`` rows in order brought no better one.
 
-    A key's rows are a run of training or of a job, so a window by key is bounded by its length.
+    Better is greater than the best so far by more than ``min_delta``; null metrics are never better. A key's rows are a
+    run of training or of a job, folded in order within its row.
     """
-    down = W.partitionBy(key).orderBy(order)
-    before = F.max(metric).over(down.rowsBetween(W.unboundedPreceding, -1))
-    seen = rows.withColumns({"_better": before.isNull() | (F.col(metric) > before), "_n": F.row_number().over(down)})
-    seen = seen.withColumn("_at", F.max(F.when(F.col("_better"), F.col("_n"))).over(down.rowsBetween(W.unboundedPreceding, 0)))
-    if patience is not None:
-        late = F.min(F.when(F.col("_n") - F.col("_at") >= patience, F.col("_n"))).over(W.partitionBy(key))
-        seen = seen.withColumn("_stop", late).where(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop")))
-    return seen.groupBy(key).agg(F.max(metric).alias("best"), F.max_by(F.col(order), F.when(F.col("_better"), F.col("_n"))).alias("best_at"), F.max(order).alias("stopped_at"))
+    kind, at = rows.schema[metric].dataType.simpleString(), rows.schema[order].dataType.simpleString()
+    run = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(metric).alias("m")))).alias("_run"))
+    none = lambda t: F.lit(None).cast(t)
+    start = F.struct(none(kind).alias("best"), none(at).alias("best_at"), F.lit(0).alias("stale"), none(at).alias("stopped_at"), F.lit(False).alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        better = F.coalesce(s["best"].isNull() & x["m"].isNotNull() | (x["m"] > s["best"] + F.lit(min_delta)), F.lit(False))
+        stale = F.when(better, 0).otherwise(s["stale"] + 1)
+        done = F.lit(False) if patience is None else stale > patience
+        new = F.struct(F.when(better, x["m"]).otherwise(s["best"]).alias("best"), F.when(better, x["at"]).otherwise(s["best_at"]).alias("best_at"), stale.alias("stale"), x["at"].alias("stopped_at"), done.alias("done"))
+        return F.when(s["done"], s).otherwise(new)
+
+    return run.withColumn("_s", F.aggregate("_run", start, step)).select(key, "_s.best", "_s.best_at", "_s.stopped_at")
+
+
+def visual_dependence(rows: DataFrame, keys: list[str], answer: str = "answer", correct: str = "correct", blank: str = "blank", shuffled: str = "shuffled") -> DataFrame:
+    """``keys``, n, the accuracy of answers with the right image, a blank one and another scene's, gap, differing, correct_wins, shuffled_wins.
+
+    Answers are compared in normal form; the gap is the first accuracy less the better of the others."""
+    plain = rows.select(*keys, *(normalize_text(F.col(c)).alias(k) for k, c in (("a", answer), ("c", correct), ("b", blank), ("s", shuffled))))
+    right = lambda k: F.col(k).eqNullSafe(F.col("a"))
+    found = plain.groupBy(*keys).agg(
+        F.count("*").alias("n"), *(F.avg(right(k).cast("double")).alias(name) for k, name in (("c", "correct"), ("b", "blank"), ("s", "shuffled"))),
+        F.count_if(~F.col("c").eqNullSafe(F.col("s"))).alias("differing"), F.count_if(right("c") & ~right("s")).alias("correct_wins"), F.count_if(~right("c") & right("s")).alias("shuffled_wins"),
+    )
+    return found.withColumn("gap", F.col("correct") - F.greatest("blank", "shuffled"))
+
+
+#: Fixed value: the gain of the gap that counts as an improvement.
+MATERIAL_GAIN = 0.05
+
+
+def materially_improved(baseline: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, gain, improved: the gap of a candidate against a baseline's (both of ``visual_dependence``)."""
+    met = baseline.select(*keys, F.col("gap").alias("_before")).join(candidate.select(*keys, F.col("gap").alias("_after")), keys)
+    return met.select(*keys, (F.col("_after") - F.col("_before")).alias("gain")).withColumn("improved", F.col("gain") >= MATERIAL_GAIN)

@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 
 
-def overlapping(boxes: DataFrame, key: str = "id", cell: float = 1.0) -> DataFrame:
+def overlapping(boxes: DataFrame, key: str = "id") -> DataFrame:
     """(a, b, overlap) for pairs a < b of boxes (x1, y1, x2, y2) that share area.
 
-    Boxes are dealt to the cells of a regular grid that they touch and meet within a cell, so no pair of far boxes is
-    made; a pair that shares several cells is taken in the one that holds the corner of its intersection. Boxes of
-    very many cells should be given a larger ``cell``.
+    Each box has a level by its size: cells of a level are at least as wide as its boxes and less than twice as wide,
+    so a box touches four cells of its level at most, and four of any higher one. A pair meets in the level of the
+    larger box, in the cell that holds the corner of its intersection: no box is dealt to many cells, however unequal
+    the sizes, and no pair is met twice. Boxes without an area, or with a side that is not finite, share none.
     """
-    at = lambda c: F.floor(F.col(c) / cell).cast("int")
-    box = F.struct("x1", "y1", "x2", "y2")
-    dealt = boxes.select(key, box.alias("box"), F.explode(F.sequence(at("x1"), at("x2"))).alias("gx"), at("y1").alias("_a"), at("y2").alias("_b"))
-    dealt = dealt.select(key, "box", "gx", F.explode(F.sequence("_a", "_b")).alias("gy"))
-    a = dealt.select(F.col(key).alias("a"), F.col("box").alias("p"), "gx", "gy")
-    b = dealt.select(F.col(key).alias("b"), F.col("box").alias("q"), "gx", "gy")
-    met = a.join(b, ["gx", "gy"]).where("a < b")
-    corner = lambda k: F.floor(F.greatest(F.col("p")[k], F.col("q")[k]) / cell).cast("int")
+    x, y = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    fine = (x > 0) & (y > 0) & (x < float("inf")) & (y < float("inf"))
+    sized = boxes.where(fine).select(key, F.struct("x1", "y1", "x2", "y2").alias("box"), F.ceil(F.log2(F.greatest(x, y))).cast("int").alias("own"))
+    # Sizes of doubles have about two thousand levels, so this row is small whatever the table.
+    present = sized.agg(F.collect_set("own").alias("levels"))
+    each = sized.crossJoin(F.broadcast(present)).select(key, "box", "own", F.explode(F.filter("levels", lambda v: v >= F.col("own"))).alias("level"))
+    at = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    dealt = each.select(key, "box", "own", "level", F.explode(F.sequence(at(F.col("box.x1")), at(F.col("box.x2")))).alias("gx"))
+    dealt = dealt.select("*", F.explode(F.sequence(at(F.col("box.y1")), at(F.col("box.y2")))).alias("gy"))
+    large = dealt.where("own = level").select(F.col(key).alias("a"), F.col("box").alias("p"), "level", "gx", "gy")
+    small = dealt.select(F.col(key).alias("b"), F.col("box").alias("q"), "own", "level", "gx", "gy")
+    met = large.join(small, ["level", "gx", "gy"]).where((F.col("own") < F.col("level")) | (F.col("a") < F.col("b")))
+    corner = lambda k: at(F.greatest(F.col("p")[k], F.col("q")[k]))
     met = met.where((corner("x1") == F.col("gx")) & (corner("y1") == F.col("gy")) & (N.box_intersection(F.col("p"), F.col("q")) > 0))
-    return met.select("a", "b", N.overlap_fraction(F.col("p"), F.col("q")).alias("overlap"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), N.overlap_fraction(F.col("p"), F.col("q")).alias("overlap"))
 
 
 def registration_status(transformable: Column, same_crs: Column, overlap: Column, same_resolution: Column, aligned: Column) -> Column:

@@ -83,6 +83,11 @@ def samples_by_band(samples: DataFrame, bands: list[str], template: str) -> Data
     return samples.select("*", F.explode(F.array(*map(F.lit, bands))).alias("band")).withColumn("path", path)
 
 
+def repeated_paths(paths: DataFrame) -> DataFrame:
+    """Paths that more than one sample and band would be written to; a set of samples with one is refused."""
+    return paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def footprint(bounds: str = "bounds", crs: str = "crs") -> Column:
     """GeoJSON polygon of a bounds struct (left, bottom, right, top); without a CRS it is labelled as pixel space."""
     b = F.col(bounds)

@@ -56,12 +56,6 @@ def test_iou_of_an_empty_union_is_null(spark):
     assert r.iou is None and r.union == 0 and r.valid == 1
 
 
-def test_resample_bilinear_ignores_the_masked_centre(spark):
-    px = spark.createDataFrame([(1, r, c, None if (r, c) == (1, 1) else 1.0) for r in range(3) for c in range(3)], "tile int, row int, col int, value double")
-    t = spark.createDataFrame([(r, c, r + 0.5, c + 0.5) for r in range(2) for c in range(2)], "row int, col int, src_row double, src_col double")
-    assert [x.value for x in R.resample(px, ["tile"], t, "bilinear").collect()] == [1.0] * 4
-
-
 def test_average_precision_and_f1_golden(spark):
     d = spark.createDataFrame([(k, t, s) for k in range(19) for t, s in ((1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1))], "label int, target int, score double")
     assert all(math.isclose(r.ap, 5 / 6) for r in M.average_precision(d, "label").collect())
@@ -80,7 +74,7 @@ def test_boxes(spark):
 def test_overlap_join_equals_all_pairs(spark):
     rng = np.random.default_rng(3)
     rows = [(i, *(lo := rng.uniform(-5, 5, 2)).tolist(), *(lo + rng.uniform(0.1, 4, 2)).tolist()) for i in range(60)]
-    got = {(r.a, r.b): r.overlap for r in P.overlapping(spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double"), cell=1.5).collect()}
+    got = {(r.a, r.b): r.overlap for r in P.overlapping(spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double")).collect()}
     want = {}
     for a in rows:
         for b in rows:

@@ -33,6 +33,54 @@ def test_geotiff_tables(spark, tmp_path):
     assert len(tiles) == 6 and {t.width for t in tiles} == {4, 2} and sum(v is None for t in tiles for v in t.data) == 24
 
 
+def test_only_wanted_blocks_are_decoded(monkeypatch):
+    grid = np.arange(3 * 40 * 10, dtype="f4").reshape(3, 40, 10)
+    raw, seen = G.encode(grid, rows_per_strip=8), []
+    decoded = G.decoded
+    monkeypatch.setattr(G, "decoded", lambda body, squeeze: seen.append(1) or decoded(body, squeeze))
+    t, order = G.parse(G.in_memory(raw))
+    got = G.window(G.in_memory(raw), t, order, 10, 30, [2])
+    assert np.array_equal(got[0], grid[1, 10:30]) and len(seen) == 3
+    with pytest.raises(ValueError):
+        G.window(G.in_memory(raw), t, order, 0, 8, [4])
+
+
+def test_bad_files_are_rows(spark, tmp_path):
+    (tmp_path / "good.tif").write_bytes(G.encode(np.full((2, 4, 6), 2.0), nodata=1))
+    (tmp_path / "bad.tif").write_bytes(b"II*\0" + b"\1" * 20)
+    (tmp_path / "cut.tif").write_bytes(G.encode(np.full((1, 400, 6), 2.0), compress=False)[:300])
+    tiles = G.read_tiles(spark, str(tmp_path), size=4).collect()
+    assert sum(t.status == "OK" for t in tiles) == 4 and {t.path.split("/")[-1] for t in tiles if t.status != "OK"} == {"bad.tif", "cut.tif"}
+    assert sorted(m.status == "OK" for m in G.read_metadata(spark, str(tmp_path)).collect()) == [False, False, True]
+
+
+def test_raster_source(spark, tmp_path):
+    from rasterloom.sources import raster_source as R
+
+    rng = np.random.default_rng(1)
+    grids = {f"o{i}.tif": np.where(rng.random((3, 21, 13)) < 0.2, np.nan, rng.normal(size=(3, 21, 13))) for i in range(4)}
+    rows = [(p, b + 1, y // 8, x // 8, *g[b, y : y + 8, x : x + 8].shape, [None if np.isnan(v) else float(v) for v in g[b, y : y + 8, x : x + 8].ravel()]) for p, g in grids.items() for b in range(3) for y in range(0, 21, 8) for x in range(0, 13, 8)]
+    df = spark.createDataFrame(rows, "path string, band int, tile_row int, tile_col int, height int, width int, data array<double>")
+    folder = str(tmp_path / "rasters")
+    R.write(df, folder, transform="10,0,5,0,-10,9", epsg="32633")
+    (tmp_path / "rasters" / "bad.tif").write_bytes(b"II")
+    meta = [m for m in G.read_metadata(spark, folder).collect() if m.status == "OK"]
+    assert len(meta) == 4 and all((m.bands, m.height, m.width, m.crs, m.transform.c) == (3, 21, 13, "EPSG:32633", 5.0) for m in meta)
+    read = spark.read.format(R.NAME).option("side", 8).option("cells", 300).load(folder)
+    got = {(r.path.split("/")[-1], r.band, r.tile_row, r.tile_col): r.data for r in read.where("status = 'OK'").collect()}
+    assert got == {(r[0], *r[1:4]): r[6] for r in rows} and read.where("status <> 'OK'").count() == 1
+    assert read.rdd.getNumPartitions() > 8
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert {r.band for r in read.where("band in (2, 9)").select("band").collect()} == {2}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    reader = R.RasterReader(folder, 8, 300)
+    assert list(reader.pushFilters([R.EqualTo(("band",), 2)])) == [] and reader.bands == {2}
+    assert all(set(b.column(1).to_pylist()) == {2} for p in reader.partitions() for b in reader.read(p))
+    with pytest.raises(Exception):
+        R.write(df.where("tile_row <> 1"), str(tmp_path / "gaps"))
+    assert not list((tmp_path / "gaps").rglob("*.tif*"))
+
+
 def test_png():
     assert G.png(np.zeros((2, 3, 4), "u1"))[:8] == b"\x89PNG\r\n\x1a\n"
 
