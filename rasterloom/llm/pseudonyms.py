@@ -3,7 +3,10 @@
 Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), social security numbers (valid ranges),
 dates of 1900 to 2099 (yyyy-MM-dd, yyyy/MM/dd, dd/MM/yyyy, MM/dd/yyyy, dd.MM.yyyy), IPv4 addresses, telephone numbers,
 e-mail addresses, and values of secrets (password=..., token = "..."). What is not valid stays as it is. A run of
-digits that is no card may hold one: its parts from separator to separator are tried too (not beyond 19 digits of it).
+digits that is no card may hold one. Of a run of at most 19 digits the parts from separator to separator are tried. A
+longer one, of any length, holds a card where one of its windows in a usual form (groups of 4-4-4-4, 4-4-4-4 and 1 to 3,
+4-6-5, or 13 to 19 digits in one group) passes; as windows overlap, all its digits get pseudonyms then, and walk on
+until a window passes again, which tells the inverse what was changed.
 
 Each value is split in two halves, and eight Feistel rounds add to one half, modulo its size, a keyed SHA-256 of the
 other; so each value goes to exactly one of the same format, equal values stay linked across documents, and with the
@@ -12,9 +15,11 @@ check digit anew, IBANs keep the country and get their check digits anew, teleph
 the last ten digits, dates stay in their century and format, e-mail addresses keep their domain. Letters and digits
 of addresses and secrets stay letters of the same case and digits.
 
-Rows never move: one pass over each text, and only texts with a digit, @, = or : are searched at all.
+Cards come last, in a search of their own, so that a run of numbers hides no other value; the inverse begins with them.
+Rows never move: two searches of each text, and only texts with a digit, @, = or : are searched at all.
 
-Defined results: a null text stays null with no finding; an empty one stays empty; equal rows get equal texts.
+Defined results: a null text stays null with no finding; an empty one stays empty; equal rows get equal texts; very long
+texts and runs of digits are searched whole.
 """
 
 from __future__ import annotations
@@ -41,8 +46,10 @@ _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 _DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9(])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-_CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join((_EMAIL, _SECRET, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD))
+# A run of any length; a class of characters, so that no long run takes a stack.
+_CARD = r"(?<![0-9])[0-9][0-9 -]{11,}[0-9]"
+# Windows of a long run, which may overlap: what looks ahead takes no character.
+_WINDOWS = tuple(rf"(?<![0-9])(?=({x})(?![0-9]))" for x in ("[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", "[0-9]{13,19}"))
 
 
 def _number(key: str, tweak: str, i: Column, other: Column) -> Column:
@@ -159,7 +166,43 @@ def _card(x: Column, key: str, inverse: bool) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(x.alias("t"), F.lit(False).alias("done")), step, lambda s: s["t"])
 
     inner = F.element_at(F.transform(F.array(chosen(x)), lambda p: F.when(p.isNull(), x).otherwise(walked(p))), 1)
-    return F.when(_luhn_sum(_digits(x)) % 10 == 0, _card_whole(x, key, inverse)).when(x.rlike("[ -]"), inner).otherwise(x)
+    n = F.char_length(_digits(x))
+    short = F.when(_luhn_sum(_digits(x)) % 10 == 0, _card_whole(x, key, inverse)).when(x.rlike("[ -]"), inner).otherwise(x)
+    return F.when(n < 13, x).when((n > 19) | x.rlike("[ -]{2}"), _long_run(x, key, inverse)).otherwise(short)
+
+
+def _holds_card(x: Column) -> Column:
+    windows = F.concat(*(F.regexp_extract_all(x, F.lit(w), F.lit(1)) for w in _WINDOWS))
+    return F.exists(windows, lambda w: _luhn_sum(_digits(w)) % 10 == 0)
+
+
+def _long_run(x: Column, key: str, inverse: bool) -> Column:
+    """A run of digits as it is, or if it holds a card, all its digits permuted until it holds one again."""
+
+    def permuted(t: Column) -> Column:
+        d = _digits(t)
+        n = F.char_length(d)
+        blocks = F.greatest(F.lit(1), F.floor(n / 18)).cast("int")
+        # The last block takes the rest, 35 digits at the most.
+        part = lambda k: F.substring(d, (k * 18 + 1).cast("int"), F.when(k == blocks - 1, n).otherwise(18).cast("int"))
+        new = F.array_join(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: permute_digits(part(k), key, "run", inverse)), "")
+        # Digits into the places of digits, by their count before each place.
+        return F.element_at(F.transform(F.array(F.struct(F.split(t, "").alias("form"), F.split(new, "").alias("new"))), _placed), 1)
+
+    def step(s, _):
+        following = F.element_at(F.transform(F.array(permuted(s["t"])), lambda t: F.struct(t.alias("t"), _holds_card(t).alias("done"))), 1)
+        return F.when(s["done"], s).otherwise(following)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(x.alias("t"), F.lit(False).alias("done")), step, lambda s: s["t"])
+    return F.when(_holds_card(x), walked).otherwise(x)
+
+
+def _placed(p: Column) -> Column:
+    """The digits ``new`` in the places of digits of ``form``, read from left to right."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("i"))
+    digit = lambda c: (c >= "0") & (c <= "9")
+    places = F.filter(F.transform(p["form"], lambda c, k: F.when(digit(c), k)), lambda k: k.isNotNull())
+    return F.element_at(F.transform(F.array(places), lambda at: F.array_join(F.transform(p["form"], lambda c, k: F.when(digit(c), F.get(p["new"], F.array_position(at, k).cast("int") - 1)).otherwise(c)), "")), 1)
 
 
 def _mod97(x: Column) -> Column:
@@ -247,7 +290,8 @@ def _secret(x: Column, key: str, inverse: bool) -> Column:
     return F.concat(head, permute_characters(F.substring(x, F.char_length(head) + 1, F.char_length(x)), key, "secret", inverse))
 
 
-_RULES = (("email", _EMAIL, _email), ("secret", _SECRET, _secret), ("iban", _IBAN, _iban), ("ip", _IP, _ip), ("date", _DATE, _date), ("ssn", _SSN, _ssn), ("phone", _PHONE, _phone), ("card", _CARD, _card))
+_RULES = (("email", _EMAIL, _email), ("secret", _SECRET, _secret), ("iban", _IBAN, _iban), ("ip", _IP, _ip), ("date", _DATE, _date), ("ssn", _SSN, _ssn), ("phone", _PHONE, _phone))
+_LAST = (("card", _CARD, _card),)
 
 
 def _derived(spark, key: str | None) -> str:
@@ -261,24 +305,34 @@ def _derived(spark, key: str | None) -> str:
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", out: str = "findings", key: str | None = None, inverse: bool = False) -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` and a column ``out``: array<struct<kind, changed>> of what was found, in order.
+    """``docs`` with pseudonyms in ``text`` and a column ``out``: array<struct<kind, changed>> of what was found, in order (cards last).
 
     The key is the argument or the session's; without one this is an error, as anyone could undo a known key's work.
     """
-    out, hits, gaps, new = fresh(docs, out), *(fresh(docs, f"_fp_{k}") for k in ("hits", "gaps", "new"))
-    key = _derived(docs.sparkSession, key)
+    out, key = fresh(docs, out), _derived(docs.sparkSession, key)
+    steps = (_LAST, _RULES) if inverse else (_RULES, _LAST)
+    found = [fresh(docs, f"_fp_{k}") for k in ("first", "second")]
+    df = docs
+    for rules, name in zip(steps, found):
+        df = _replaced(df, text, name, rules, key, inverse)
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns), F.concat(*map(F.col, found)).alias(out))
+
+
+def _replaced(docs: DataFrame, text: str, out: str, rules: tuple, key: str, inverse: bool) -> DataFrame:
+    hits, gaps, new = (fresh(docs, f"_fp_{k}") for k in ("hits", "gaps", "new"))
+    every = "|".join(pattern for _, pattern, _ in rules)
     t = F.col(text)
-    df = docs.withColumn(hits, F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    df = docs.withColumn(hits, F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(every), F.lit(0))))
     some = F.size(hits) > 0
 
     def swap(x):
         kind, value = F.lit(None).cast("string"), x
-        for name, pattern, rule in reversed(_RULES):
+        for name, pattern, rule in reversed(rules):
             mine = x.rlike(f"^(?:{pattern})$")
             kind, value = F.when(mine, F.lit(name)).otherwise(kind), F.when(mine, rule(x, key, inverse)).otherwise(value)
         return F.struct(kind.alias("kind"), value.alias("value"), x.alias("was"))
 
-    df = df.withColumn(new, F.when(some, F.transform(hits, swap))).withColumn(gaps, F.when(some, F.split(t, ANY)))
+    df = df.withColumn(new, F.when(some, F.transform(hits, swap))).withColumn(gaps, F.when(some, F.split(t, every)))
     pieces = F.zip_with(gaps, F.transform(new, lambda x: x["value"]), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
     found = F.coalesce(F.transform(new, lambda x: F.struct(x["kind"].alias("kind"), (x["value"] != x["was"]).alias("changed"))), F.array().cast("array<struct<kind:string,changed:boolean>>"))
     result = {text: F.when(some, F.array_join(pieces, "")).otherwise(t), out: found}
