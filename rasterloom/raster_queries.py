@@ -19,7 +19,7 @@ from .operators import raster as R
 from .operators import warp as V
 from .queries import _MICRO, query, read
 from .sources import raster_source as S
-from .sources.shared import cut_lineage, shared_folder
+from .sources.shared import shared_folder
 
 
 def _near(x, unit: float):
@@ -237,12 +237,6 @@ def raster_files(spark, sf_dir):
     t = _rasters(spark, sf_dir).select(F.concat(F.lit("r"), "observation", F.lit(".tif")).alias("path"), (F.col("band") + 1).alias("band"), "tile_row", "tile_col", "height", "width", "data")
     folder = f"{shared_folder(spark)}/rasters_{uuid.uuid4().hex}"
     S.write(t, folder, transform="10,0,500000,0,-10,5000160", epsg="32633")
-    name = "spark.sql.python.filterPushdown.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        read_ = spark.read.format(S.NAME).option("side", 8).load(folder).where("band = 2")
-        total = F.aggregate(F.transform("data", lambda v, i: (i + 1).cast("long") * F.floor(F.coalesce(v, F.lit(0.0)) * 1e6 + 0.5).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-        return cut_lineage(read_.select(F.substring_index("path", "/", -1).alias("file"), "band", "tile_row", "tile_col", F.size(F.filter("data", lambda v: v.isNotNull())).cast("long").alias("valid"), total.alias("total")))
-    finally:
-        spark.conf.set(name, before)
+    read_ = spark.read.format(S.NAME).option("side", 8).load(folder).where("band = 2")
+    total = F.aggregate(F.transform("data", lambda v, i: (i + 1).cast("long") * F.floor(F.coalesce(v, F.lit(0.0)) * 1e6 + 0.5).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return read_.select(F.substring_index("path", "/", -1).alias("file"), "band", "tile_row", "tile_col", F.size(F.filter("data", lambda v: v.isNotNull())).cast("long").alias("valid"), total.alias("total"))

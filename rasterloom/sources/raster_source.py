@@ -4,7 +4,7 @@
 
 Reading: a partition is a run of tile rows of a file, so a file of any size is spread; a task reads the directory and
 those blocks that hold its rows, in batches of one row of tiles. A filter ``band = n`` or ``band IN (...)`` is pushed to
-the reader (where the session has spark.sql.python.filterPushdown.enabled): blocks of other bands are not decoded, and
+the reader: blocks of other bands are not decoded, and
 of a file with separate planes not even read. A file that can't be read is one row with its error as ``status``.
 
 Writing: ``write`` brings each file's tiles together, in order; a task appends strip after strip (one row of tiles of a
@@ -218,7 +218,9 @@ class RasterSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Names the source in the session, and lets filters through to Python readers, without which Spark refuses it."""
     spark.dataSource.register(RasterSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def write(tiles: DataFrame, folder: str, **options: str) -> None:

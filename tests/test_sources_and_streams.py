@@ -70,9 +70,7 @@ def test_raster_source(spark, tmp_path):
     got = {(r.path.split("/")[-1], r.band, r.tile_row, r.tile_col): r.data for r in read.where("status = 'OK'").collect()}
     assert got == {(r[0], *r[1:4]): r[6] for r in rows} and read.where("status <> 'OK'").count() == 1
     assert read.rdd.getNumPartitions() > 8
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     assert {r.band for r in read.where("band in (2, 9)").select("band").collect()} == {2}
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
     reader = R.RasterReader(folder, 8, 300)
     assert list(reader.pushFilters([R.EqualTo(("band",), 2)])) == [] and reader.bands == {2}
     assert all(set(b.column(1).to_pylist()) == {2} for p in reader.partitions() for b in reader.read(p))
