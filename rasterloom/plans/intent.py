@@ -45,6 +45,7 @@ NOUNS = ("building", "road", "vehicle", "forest", "vegetation")
 BACKWARDS = r"\b(?:t2|second|after|post)\b.{0,20}\b(?:to|vs|versus)\b.{0,20}\b(?:t1|first|before|pre)\b"
 FORWARDS = r"\b(?:t1|first|before|pre)\b.{0,20}\b(?:to|vs|versus)\b.{0,20}\b(?:t2|second|after|post)\b"
 
+# The names and the order of targets, measurements, directions and rules; results must equal them.
 # A condition is a pattern, or ("and" | "or" | "not", conditions...). The first rule that holds gives its value.
 TEMPORAL = ("or", CHANGE, GAIN, LOSS, TIMES)
 BOTH = ("and", RADAR, OPTICAL)

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..operators import raster as R
 
+# How many steps a plan may have, and the two sentences of an answer.
 MAX_STEPS = 8
+MEASURED = "The measured area is "
 ABSTAIN = "I cannot provide a verified answer because the evidence did not pass verification."
 
 
@@ -107,7 +109,7 @@ def execute(plan: Plan, observations: dict[str, DataFrame]) -> dict[str, DataFra
 def answer(measured: DataFrame, digits: int = 2) -> DataFrame:
     """(answered, outcome, answer, value, unit): a number is told only where its recomputation agrees."""
     ok = N.is_close(F.col("value"), F.col("recomputed"), 1e-9, 1e-9) & (F.col("positive_pixel_count") <= F.col("valid_pixel_count"))
-    text = F.concat(F.lit("The measured area is "), F.format_string(f"%.{digits}f", "value"), F.lit(" "), F.col("unit"), F.lit("."))
+    text = F.concat(F.lit(MEASURED), F.format_string(f"%.{digits}f", "value"), F.lit(" "), F.col("unit"), F.lit("."))
     return measured.select(ok.alias("answered"), F.when(ok, "ALLOW").otherwise("ABSTAIN").alias("outcome"), F.when(ok, text).otherwise(ABSTAIN).alias("answer"), F.when(ok, F.col("value")).alias("value"), "unit")
 
 
