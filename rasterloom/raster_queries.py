@@ -240,3 +240,25 @@ def raster_files(spark, sf_dir):
     read_ = spark.read.format(S.NAME).option("side", 8).load(folder).where("band = 2")
     total = F.aggregate(F.transform("data", lambda v, i: (i + 1).cast("long") * F.floor(F.coalesce(v, F.lit(0.0)) * 1e6 + 0.5).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     return read_.select(F.substring_index("path", "/", -1).alias("file"), "band", "tile_row", "tile_col", F.size(F.filter("data", lambda v: v.isNotNull())).cast("long").alias("valid"), total.alias("total"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 8 IN (2, 6, 7) THEN 'INVALID' WHEN c_custkey % 4 = 0 THEN 'VERIFIED' ELSE 'APPROXIMATE' END AS registration,
+      CASE WHEN c_custkey % 8 IN (2, 6, 7) THEN 'FAIL' WHEN c_custkey % 4 = 0 THEN 'PASS' ELSE 'WARN' END AS status FROM customer"""
+)
+def pair_grid_status(spark, sf_dir):
+    """Pairs of grids: ten metres apart (0), five metres apart (1), in an unknown system (2), in degrees over the same place (3) or far away (7)."""
+    k = F.col("c_custkey")
+    kind, east = k % 4, 440_000.0 + (k % 100) * 10.0
+    grid = lambda c: F.struct(*(x.alias(n) for n, x in zip("abcdef", (F.lit(10.0), F.lit(0.0), c, F.lit(0.0), F.lit(-10.0), F.lit(5_010_000.0)))))
+    box = lambda *v: F.struct(*(x.alias(n) for n, x in zip(("x1", "y1", "x2", "y2"), v)))
+    own, moved = F.lit(32633), east + F.when(kind == 0, 10.0).otherwise(5.0)
+    code = J.code(F.when(kind == 2, "EPSG:2154").when(kind == 3, "EPSG:4326").otherwise("EPSG:32633"))
+    far = F.when(k % 8 == 7, 36.0).otherwise(0.0)
+    first = box(east, F.lit(5_000_000.0), east + 10_000, F.lit(5_010_000.0))
+    second = F.when(kind == 3, box(far + 14.0, F.lit(45.0), far + 15.0, F.lit(45.5))).otherwise(box(moved, F.lit(5_000_000.0), moved + 10_000, F.lit(5_010_000.0)))
+    o = read(spark, sf_dir, "customer").select("c_custkey", first.alias("p"), code.alias("code"), J.transform_bounds(second, code, own).alias("q"), grid(east).alias("g"), grid(moved).alias("h"))
+    known, same = F.col("code").isNotNull(), F.coalesce(F.col("code") == own, F.lit(False))
+    overlap, even = N.overlap_fraction(F.col("p"), F.col("q")), P.aligned(F.col("g"), F.col("h"))
+    why = P.reasons(CRS_DIFFERS=~same, NOT_ALIGNED=same & ~even)
+    return o.select("c_custkey", P.registration_status(known, same, overlap, same, even).alias("registration"), P.overall_status(known, overlap, why).alias("status"))
