@@ -708,4 +708,4 @@ def metric_deltas(spark, sf_dir):
     return M.metric_deltas(scored(0.3), scored(0.6), "lang", "f1").select("lang", N.micro(F.col("delta")).alias("delta"), "change")
 
 
-from . import graph_queries, raster_queries, record_queries  # noqa: E402, F401  register their queries here
+from . import graph_queries, raster_queries, record_queries, workflow_queries  # noqa: E402, F401  register their queries here
