@@ -3,14 +3,17 @@
 * Content: hashed words and word endings of the text (``BUCKETS`` buckets), log-odds averaged over the text, and the
   text's shape (case, marks, lengths of words and lines, in bins), log-odds summed.
 * Page metadata: the columns named (language, source, recorded length), hashed by value, numbers by half powers of two;
-  log-odds summed. It never reads the text.
+  log-odds weighed by column. It never reads the text.
 
 Each view is a naive Bayes model whose log-odds a logistic fit on labelled rows calibrates. In each of ``ROUNDS``
-rounds all documents are scored by both views, and where one view is confident (a calibrated probability of at least
-``SURE`` or at most 1 - ``SURE``) and the other does not contradict it with a probability beyond ``AGAINST``, its
-verdict is a pseudo-label for the *other* view, with weight ``PSEUDO``; labelled rows always count for both. The views
-of a round stay only if they score the labelled rows set aside no worse (log-loss of the combination, within
-``SLACK``) than those before; else the rounds end with those. A last pass scores every document by a fit over both calibrated views.
+rounds all documents are scored by both views, and each view gives the *other* one pseudo-labels for its surest
+documents of either class: those beyond the calibrated log-odds that bound its surest ``SHARE`` of the labelled rows
+(ties included), unless the other view contradicts with a probability beyond ``AGAINST``. A pseudo-label weighs up to
+``PSEUDO``, by the square of how far the view's probability is on the way from the share of good rows to certainty: a
+view that knows nothing teaches nothing, and one that knows little teaches little.
+Labelled rows always count for both. Half of the labelled rows are counted, a quarter calibrates, and a quarter, which
+did neither, judges: the views of a round stay only if their log-loss (of the combination) is within ``SLACK`` of that
+before; else the rounds end. A last pass scores every document by a fit of both views over both quarters.
 
 A round is one narrow pass that returns counts by bucket, summed by bucket in Spark: fixed size, whatever the corpus.
 Calibration takes at most ``MAX_DOCS`` labelled rows by hash of their ids; so do the labelled counts of round 0.
@@ -37,9 +40,9 @@ from .toxicity import logistic
 BUCKETS = 1 << 16
 META = 1 << 12
 ROUNDS = 2
-SURE = 0.97
+SHARE = 0.15  # of either class, a view and a round
 AGAINST = 0.8
-SLACK = 0.01  # nats a row
+SLACK = 0.002  # nats a row
 PSEUDO = 0.5
 MAX_DOCS = 20_000
 KEEP = 0.5
@@ -98,21 +101,23 @@ class Views:
 
     def __init__(self, words: np.ndarray, shapes: np.ndarray, meta: np.ndarray):
         self.words, self.shapes, self.meta = _odds(words), _odds(shapes), _odds(meta)
-        # Of content: slopes of words and shape, intercept; of metadata: slope, intercept.
-        self.fits = [np.array([1.0, 1.0, 0.0]), np.array([1.0, 0.0])]
+        # Slopes and intercept of content (words, shape) and of metadata (each column; its odds until it is calibrated).
+        self.fits = [np.array([1.0, 1.0, 0.0]), None]
         self.both = np.array([0.5, 0.5, 0.0])
+        self.good, self.sure = 0.5, np.array([[-np.inf, np.inf]] * 2)  # share of good rows; of each view: its surest bad, good
         self.loss = np.inf
 
     def raw(self, texts: list[bytes], fields: np.ndarray, memo: Codes):
-        """Log-odds of words, shape and metadata; buckets of words, where texts begin in them, and of shapes."""
+        """Log-odds of words, shape and each column of metadata; buckets of words, where texts begin in them, and of shapes."""
         at, begin = content(texts, memo)
         form = shape(texts, np.diff(begin) // 2, memo)
         odds = sums(self.words[at], begin) / np.maximum(np.diff(begin), 1)
-        return np.stack([odds, self.shapes[form].sum(axis=1), self.meta[fields].sum(axis=1)], axis=1), at, begin, form
+        return np.column_stack([odds, self.shapes[form].sum(axis=1), self.meta[fields]]), at, begin, form
 
     def logits(self, raw: np.ndarray) -> np.ndarray:
         """Calibrated, of content and of metadata."""
-        own = raw[:, :2] @ self.fits[0][:2] + self.fits[0][2], raw[:, 2] * self.fits[1][0] + self.fits[1][1]
+        meta = self.fits[1] if self.fits[1] is not None else np.append(np.ones(raw.shape[1] - 2), 0.0)
+        own = raw[:, :2] @ self.fits[0][:2] + self.fits[0][2], raw[:, 2:] @ meta[:-1] + meta[-1]
         return np.clip(np.stack(own, axis=1), -8, 8)
 
     def score(self, raw: np.ndarray) -> np.ndarray:
@@ -120,6 +125,20 @@ class Views:
         return 1 / (1 + np.exp(-np.clip(z @ self.both[:2] + self.both[2], -30, 30)))
 
 
+    def settle(self, raw: np.ndarray, y: np.ndarray) -> None:
+        """Calibrates both views and their combination on labelled rows, and finds where each view's surest share begins."""
+        if not 0 < y.sum() < len(y):
+            return
+        self.fits = [logistic(raw[:, :2], y), logistic(raw[:, 2:], y)]
+        z = self.logits(raw)
+        self.good, self.sure = float(y.mean()), np.quantile(z, [SHARE, 1 - SHARE], axis=0).T
+        self.both = logistic(z, y)
+        for own in (0, 1):
+            # A view that would count against its own verdict is left out.
+            if self.both[own] < 0:
+                self.both = np.insert(logistic(z[:, [1 - own]], y), own, 0.0)
+
+
 def _odds(counts: np.ndarray) -> np.ndarray:
     """log P(bucket | good) - log P(bucket | bad), each smoothed by the buckets' overall share."""
     share = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * len(counts))
@@ -152,13 +171,17 @@ def _told(tables: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["view", "at", "bad", "good"])
 
 
-def exchanged(p: np.ndarray) -> list[np.ndarray]:
-    """Pseudo-label weights (bad, good) for the content and for the metadata view, from both views' probabilities."""
-    out = []
+def exchanged(views: Views, z: np.ndarray) -> list[np.ndarray]:
+    """Pseudo-label weights (bad, good) for the content and for the metadata view, from both views' calibrated log-odds.
+
+    Weights are multiples of 1/64, so that their sums do not depend on an order."""
+    p, out = 1 / (1 + np.exp(-z)), []
     for own, other in ((0, 1), (1, 0)):
-        bad = (p[:, other] <= 1 - SURE) & (p[:, own] <= AGAINST)
-        good = (p[:, other] >= SURE) & (p[:, own] >= 1 - AGAINST)
-        out.append(np.column_stack([bad, good]) * PSEUDO)
+        low, high = views.sure[other]
+        bad = (z[:, other] <= low) & (p[:, own] <= AGAINST)
+        good = (z[:, other] >= high) & (p[:, own] >= 1 - AGAINST)
+        told = np.column_stack([bad * (views.good - p[:, other]) / views.good, good * (p[:, other] - views.good) / (1 - views.good)])
+        out.append(np.round(np.clip(told, 0, 1) ** 2 * PSEUDO * 64) / 64)
     return out
 
 
@@ -178,7 +201,7 @@ def _counter(views):
                     form = shape(texts, np.diff(begin) // 2, memo)
                 else:
                     raw, at, begin, form = views.value.raw(texts, m, memo)
-                    told = exchanged(1 / (1 + np.exp(-views.value.logits(raw))))
+                    told = exchanged(views.value, views.value.logits(raw))
                     to_content, to_meta = (np.where((y < 0)[:, None], x, to_content) for x in told)
                 for table, where, weight, each in ((tables[0], at, to_content, np.diff(begin)), (tables[1], form.ravel(), to_content, form.shape[1]), (tables[2], m.ravel(), to_meta, m.shape[1])):
                     for c in (0, 1):
@@ -199,19 +222,20 @@ def score(docs: DataFrame, labels: DataFrame, fit: Column, doc_id: str = "doc_id
     final = None
     fields = metadata(docs, meta)
     if 0 < good < n:
-        # Half of the labelled rows are counted, half calibrate: counts would look too sure of their own rows.
-        halves = known.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "_co_id"), F.lit(2)))
-        named = docs.select(F.col(text).alias("t"), fields.alias("m"), F.col(doc_id).alias("_co_id")).join(F.broadcast(halves), "_co_id", "left")
-        rows = named.select("t", "m", F.when(F.col("half") == 0, F.col("_co_y")).when(F.col("half") == 1, F.lit(-2)).otherwise(F.lit(-1)).alias("y"))
-        check = named.where("half = 1").select("t", "m", F.col("_co_y").alias("y"))
-        views = _fitted(Views(*_sums(rows.where("y >= 0"), _counter(None))), check, sc)
+        # Counts would look too sure of their own rows: even quarters are counted, one calibrates and one judges.
+        quarters = known.withColumn("part", F.pmod(F.xxhash64(F.lit("half"), "_co_id"), F.lit(4)))
+        named = docs.select(F.col(text).alias("t"), fields.alias("m"), F.col(doc_id).alias("_co_id")).join(F.broadcast(quarters), "_co_id", "left")
+        rows = named.select("t", "m", F.when(F.col("part") % 2 == 0, F.col("_co_y")).when(F.col("part") % 2 == 1, F.lit(-2)).otherwise(F.lit(-1)).alias("y"))
+        check = named.where("part % 2 = 1").select("t", "m", F.col("_co_y").alias("y"), (F.col("part") == 3).alias("judge"), F.col("_co_id").cast("string").alias("id"))
+        views, told = _fitted(Views(*_sums(rows.where("y >= 0"), _counter(None))), check, sc)
         for _ in range(rounds):
             given = sc.broadcast(views)
-            following = _fitted(Views(*_sums(rows.where("y > -2"), _counter(given))), check, sc)
+            following, told_then = _fitted(Views(*_sums(rows.where("y > -2"), _counter(given))), check, sc)
             given.unpersist()
             if following.loss > views.loss + SLACK:
                 break
-            views = following
+            views, told = following, told_then
+        views.settle(*told)
         final = sc.broadcast(views)
     share, at, named_at = good / n if n else 0.5, docs.columns.index(text), fresh(docs, "_co_fields")
 
@@ -226,8 +250,9 @@ def score(docs: DataFrame, labels: DataFrame, fit: Column, doc_id: str = "doc_id
     return docs.withColumn(named_at, fields).mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType(), False)]))
 
 
-def _fitted(views: Views, check: DataFrame, sc) -> Views:
-    """Calibrates both views, and their combination, on the rows of ``check``."""
+def _fitted(views: Views, check: DataFrame, sc) -> tuple[Views, tuple]:
+    """Calibrates both views and their combination on the rows of ``check`` that do not judge, and takes the loss of
+    those that do; also these rows: raw log-odds and labels. One row an id comes to the driver."""
     given = sc.broadcast(views)
 
     def run(batches):
@@ -236,19 +261,17 @@ def _fitted(views: Views, check: DataFrame, sc) -> Views:
             fields = _fields(b.column(1))
             for first, texts in slices(b.column(0)):
                 raw = given.value.raw(texts, fields[first : first + len(texts)], memo)[0]
-                yield pa.RecordBatch.from_arrays([*(pa.array(raw[:, i]) for i in range(3)), b.column(2).slice(first, len(texts))], ["a", "b", "c", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(raw.tolist(), pa.list_(pa.float64())), *(b.column(i).slice(first, len(texts)) for i in (2, 3, 4))], ["raw", "y", "judge", "id"])
 
-    got = check.mapInArrow(run, "a double, b double, c double, y int").toArrow()
+    each = check.mapInArrow(run, "raw array<double>, y int, judge boolean, id string")
+    got = each.groupBy("id").agg(F.max(F.struct("raw", "y", "judge")).alias("x")).select("id", "x.*").orderBy("id").toArrow()
     given.unpersist()
-    raw, y = np.column_stack([got.column(c).to_numpy() for c in "abc"]), got.column("y").to_numpy()
-    if 0 < y.sum() < len(y):
-        views.fits = [logistic(raw[:, :2], y), logistic(raw[:, 2:], y)]
-        z = views.logits(raw)
-        views.both = logistic(z, y)
-        for own in (0, 1):
-            # A view that would count against its own verdict is left out.
-            if views.both[own] < 0:
-                views.both = np.insert(logistic(z[:, [1 - own]], y), own, 0.0)
-        p = np.clip(views.score(raw), 1e-6, 1 - 1e-6)
-        views.loss = -float(np.mean(np.where(y == 1, np.log(p), np.log(1 - p))))
-    return views
+    y, judge = (got.column(c).to_numpy() for c in ("y", "judge"))
+    if not len(y):
+        return views, (np.zeros((0, 2)), y)
+    raw, judge = np.array(got.column("raw").to_pylist()), judge.astype(bool)
+    views.settle(raw[~judge], y[~judge])
+    if judge.any():
+        p = np.clip(views.score(raw[judge]), 1e-6, 1 - 1e-6)
+        views.loss = -float(np.mean(np.where(y[judge] == 1, np.log(p), np.log(1 - p))))
+    return views, (raw, y)

@@ -164,6 +164,21 @@ def test_cotraining_edges(spark):
 
 
 def test_cotraining_views_agree_before_they_teach():
-    p = np.array([[0.99, 0.5], [0.99, 0.1], [0.01, 0.5], [0.01, 0.9], [0.5, 0.99]])
-    content, meta = cotrain.exchanged(p)
-    assert (meta * 2).tolist() == [[0, 1], [0, 0], [1, 0], [0, 0], [0, 0]] and (content * 2).tolist() == [[0, 0]] * 4 + [[0, 1]]
+    views = cotrain.Views(*(np.ones((2, 2)),) * 3)
+    views.good, views.sure = 0.5, np.array([[-2.0, 2.0], [-2.0, 2.0]])
+    p = np.array([[0.99, 0.5], [0.99, 0.1], [0.01, 0.5], [0.01, 0.9], [0.5, 0.99], [0.5, 0.8]])
+    content, meta = cotrain.exchanged(views, np.log(p / (1 - p)))
+    surest = round(0.98**2 * 0.5 * 64) / 64
+    assert meta.tolist() == [[0, surest], [0, 0], [surest, 0], [0, 0], [0, 0], [0, 0]] and content.tolist() == [[0, 0]] * 4 + [[0, surest], [0, 0]]
+    views.good = 0.99  # as sure as the share of good rows: nothing to teach
+    assert cotrain.exchanged(views, np.log(p / (1 - p)))[1][0].tolist() == [0, 0]
+
+
+def test_cotraining_counts_of_content_change_by_exchange(spark, monkeypatch):
+    """On the given tables: pseudo-labels of the metadata view reach the content view, and the other way."""
+    seen, plain = [], cotrain._sums
+    monkeypatch.setattr(cotrain, "_sums", lambda rows, run: seen.append(plain(rows, run)) or seen[-1])
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = cotrain.score(docs, labels, third(1) == False, rounds=1)  # noqa: E712
+    assert got.count() == docs.count() and len(seen) == 2
+    assert all(after.sum() > before.sum() for before, after in zip(*seen))
