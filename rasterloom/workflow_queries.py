@@ -12,6 +12,7 @@ from .operators import jobs as JB
 from .operators import raster as R
 from .operators import reports as RP
 from .operators import tiles as TL
+from .plans import feasibility as FS
 from .plans import workflow as WF
 from .queries import query, read, tile_pairs
 from .raster_queries import _SQL_RASTERS, _grid, _rasters
@@ -201,3 +202,38 @@ def footprints(spark, sf_dir):
     tag = F.when(k % 3 == 0, " vv;/VH ").when(k % 3 == 1, "hh").otherwise(" ,")
     t = read(spark, sf_dir, "customer").select("c_custkey", bounds.alias("bounds"), F.when(k % 2 == 0, "EPSG:3857").alias("crs"), tag.alias("tag"))
     return t.select("c_custkey", F.array_join(X.polarizations(F.col("tag")), ",").alias("polarizations"), ST.footprint().alias("footprint"))
+
+
+# Customers as intents: a family, a target and a measurement each, with none to two observations and, mostly, a pair.
+_INTENTS = (("CHANGE_MEASURE", "sar", "area"), ("CHANGE_VQA", None, None), ("MEASURE", None, "ndvi"), ("SINGLE_VQA", None, None), ("CROSS_MODAL_VQA", "sar", None), ("MEASURE", "water", "area"))
+_SQL_FEASIBLE = f"""v(j, f, t, m) AS (VALUES {", ".join("(" + str(j) + ", " + ", ".join("NULL" if x is None else f"'{x}'" for x in i) + ")" for j, i in enumerate(_INTENTS))}),
+    c AS (SELECT c_custkey AS k, v.*, k % 3 AS n, k % 5 <> 0 AS p, f LIKE 'CHANGE%' OR f LIKE 'CROSS%' AS temporal FROM customer JOIN v ON c_custkey % 6 = j),
+    b AS (SELECT k, temporal AND NOT (n >= 2 AND p) AS c1, temporal AND p AND k % 7 = 0 AS c2, temporal AND p AND k % 11 = 0 AS c3, f IN ('MEASURE', 'CHANGE_MEASURE', 'CHANGE_LOCALIZE') AND p AND k % 13 IN (0, 1) AS c4,
+      coalesce(m = 'ndvi', false) AND n > 0 AND k % 4 = 0 AS c5, coalesce(m = 'area', false) AND n > 0 AND k % 8 = 1 AS c6, (coalesce(t = 'sar', false) OR f = 'CROSS_MODAL_VQA') AND n > 0 AND k % 17 < 5 AS c7,
+      f = 'SINGLE_VQA' AND n > 0 AND k % 9 = 3 AS c8, CASE f WHEN 'CROSS_MODAL_VQA' THEN true WHEN 'SINGLE_VQA' THEN k % 2 = 0 WHEN 'CHANGE_MEASURE' THEN k % 10 = 6 ELSE m = 'area' AND k % 10 = 6 END AS c9 FROM c)"""
+_CHECKS = (("c1", "REQUEST_INPUT", "MISSING_TEMPORAL_PAIR"), ("c2", "REQUEST_INPUT", "TEMPORAL_ORDER_UNKNOWN"), ("c3", "REJECT", "NO_SPATIAL_OVERLAP"), ("c4", "REJECT", "PAIR_ALIGNMENT_INVALID"), ("c5", "REJECT", "MISSING_REQUIRED_BAND"), ("c6", "REJECT", "CRS_REQUIRED_FOR_MEASUREMENT"), ("c7", "REQUEST_INPUT", "UNKNOWN_SAR_POLARIZATION"), ("c8", "ALLOW_WITH_WARNING", "GEOREFERENCE_UNAVAILABLE"), ("c9", "ABSTAIN", "MODEL_UNAVAILABLE"))
+
+
+@query(
+    f"""WITH {_SQL_FEASIBLE} SELECT k, CASE WHEN c3 OR c4 OR c5 OR c6 THEN 'REJECT' WHEN c1 OR c2 OR c7 THEN 'REQUEST_INPUT' WHEN coalesce(c9, false) THEN 'ABSTAIN' WHEN c8 THEN 'ALLOW_WITH_WARNING' ELSE 'ALLOW' END AS outcome,
+    concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{code}' END" for c, _, code in _CHECKS)}) AS codes FROM b"""
+)
+def feasible_intents(spark, sf_dir):
+    """All nine checks of intents against observations, pairs and capabilities."""
+    k = F.col("c_custkey")
+    of = lambda i: F.get(F.array(*(F.lit(x[i]).cast("string") for x in _INTENTS)), (k % 6).cast("int"))
+    intent = F.struct(*(of(i).alias(n) for i, n in enumerate(("task_family", "target_semantic", "requested_measurement"))))
+    one = F.struct(
+        F.when(k % 4 == 0, F.array(F.lit("Red"))).otherwise(F.array(F.lit("Red"), F.lit("B08"))).alias("descriptions"), F.when(k % 8 != 1, "EPSG:32633").alias("crs"), F.lit("sar").alias("kind"),
+        F.when(k % 17 < 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("VV"))).alias("polarizations"), F.when(k % 17 > 4, "db").alias("domain"), F.lit(None).cast("string").alias("sensor"), (k % 9 == 3).alias("jpeg"),
+    )
+    pair = F.when(k % 5 != 0, F.struct((k % 7 != 0).alias("order_known"), F.lit(True).alias("overlap_known"), (k % 11 != 0).alias("sufficient"), F.when(k % 13 != 1, k % 13 != 0).alias("aligned")))
+    state = lambda name, status: F.struct(F.lit(name).alias("id"), status.alias("status"))
+    have = F.array(
+        state("deterministic_sar_temporal_change", F.lit("AVAILABLE")), state("temporal_difference", F.lit("AVAILABLE")), state("spectral_index_ndvi", F.lit("AVAILABLE")),
+        state("mask_area_measurement", F.when(k % 10 == 6, "BLOCKED").otherwise("AVAILABLE_WITH_LIMITS")), state("single_image_vqa", F.when(k % 2 == 0, "UNAVAILABLE_RUNTIME").otherwise("AVAILABLE")),
+    )
+    c = read(spark, sf_dir, "customer").select(k.alias("k"), intent.alias("intent"), F.array_repeat(one, (k % 3).cast("int")).alias("o"), pair.alias("pair"), have.alias("have"))
+    x = c.select("k", FS.feasibility(F.col("intent"), F.col("o"), F.col("pair"), F.col("have")).alias("x"))
+    codes = F.transform(F.filter("x.checks", lambda r: ~r["passed"]), lambda r: r["code"])
+    return x.select("k", F.col("x.outcome").alias("outcome"), F.array_join(codes, ",").alias("codes"))
