@@ -62,7 +62,9 @@ def as_events(rows: DataFrame, conversation: str = "conv_id", order: str = "turn
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(conversation, at, message, role, text): the final messages of a log."""
+    """(conversation, at, message, role, text): the final messages of a log.
+
+    Events of one message with one sequence are taken by kind, then text, then role, so any order of rows gives one result."""
     told = F.struct(F.col("sequence").alias("s"), F.col("kind").alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("t"), F.col("role").alias("r"))
     grouped = events.groupBy("conversation", "message").agg(F.sort_array(F.collect_list(told)).alias("log"))
     reset = F.array_max(F.transform("log", lambda e, i: F.when(e["k"].isin("edit", "regenerate"), i + 1).otherwise(1)))

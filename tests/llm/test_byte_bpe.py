@@ -35,3 +35,12 @@ def test_long_stretch_is_split_by_the_pattern(monkeypatch):
     monkeypatch.setattr(b, "LONG", 10)
     for t in ("a b  c\n\n d's 12x" * 9, " " * 50, "x" * 99):
         assert b.encode_stretch(t, RANKS, P.PATTERN) == WHOLE.encode_ordinary(t)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Rows repeated under one id each get their ids, long ones too, and columns of the operator's own names pass through."""
+    long = "word's 12 é\n" * 40
+    df = spark.createDataFrame([(1, long, 5, 6), (1, long, 5, 6), (1, "a b", 5, 6), (None, None, None, None)], "doc_id long, text string, _bpe_row long, no int")
+    got = b.encode(df, RANKS, P.PATTERN, chunk=64, overlap=16).collect()
+    assert sorted(map(len, (r.ids for r in got))) == sorted(len(WHOLE.encode_ordinary(t)) for t in (long, long, "a b", ""))
+    assert all(r.ids == WHOLE.encode_ordinary(r.text or "") for r in got) and [(r["_bpe_row"], r.no) for r in got if r.doc_id] == [(5, 6)] * 3
