@@ -16,10 +16,11 @@ P(class | features) * P(token | class, features):
 Weights are rows of a table of fixed size, the model's capacity; exact counts of all tokens grow with the corpus.
 
 * Counts cover every training token: partial counts by run of text, then a sum by token hash (64 bits).
-* The training texts are dealt to three folds by their ids' hash: neighbours are counted over the first, then each other one is
-  a round of training. A task updates its own copy of the weights batch by batch (steps scaled by each row's
-  gradients so far), and the copies are averaged row by row, weighted by their tokens. There is a copy for each
-  ``COPY_TOKENS`` tokens of a round, so what they send grows with the input and not with its partitions.
+* Neighbours are counted over all training texts. These are then dealt to ``FOLDS`` folds by their ids' hash, and each fold
+  is a round of training, so every training text moves weights. A task updates its own copy of the weights batch by batch
+  (steps scaled by each row's gradients so far), and the copies are averaged row by row, weighted by their tokens, by groups
+  of ``ROWS`` rows. There is a copy for each ``COPY_TOKENS`` tokens of a round, so what they send grows with the input and
+  not with its partitions.
 * Scoring: frequent tokens (at most ``HEAD``, a proven bound) are broadcast with their counts. Occurrences of others
   are joined with the counts by hash, then summed by row; nothing else is shuffled, and no text is.
 
@@ -31,15 +32,17 @@ tokens are in memory at once, as numbers (some 100 bytes a token while its batch
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut_lineage
-from .tokens import Hashes, hashed, slices, sums
+from .tokens import Hashes, Words, slices, sums
 
 HEAD = 1 << 19
 FRONT = 6144
@@ -49,12 +52,15 @@ NEIGHBOURS = 64
 BANDS = 8
 OUTER = 1 << 14  # rows of a hashed feature of the class softmax
 INNER = 1 << 15  # rows of the hashed feature within classes
-FOLDS = 3
+FOLDS = 2
 RATE = 1.0
 BATCH = 1 << 14
+CACHED = 1 << 9  # distributions that are made at once
+MANY = 16  # rows whose gradients are summed by a product beyond
 COPY_TOKENS = 1 << 21
-WIDE = 32  # weights in a row of a copy's result
+ROWS = 64  # rows of weights that are sent together
 FINE = 2048.0  # moves are sent as whole numbers of this part
+MOVED = "kind byte, at int, data binary"
 # The end token: no word has a space.
 END = b" "
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,23 +74,22 @@ def count_tokens(docs: DataFrame, text: str) -> DataFrame:
     """(h, c): how often each token, by its hash, occurs in all texts."""
 
     def run(batches):
-        memo, kept, total = Hashes(), [], 0
+        counts = Counter()
         for b in batches:
-            for _, texts in slices(b.column(0), 8 << 20):
-                kept.append(np.unique(hashed([tokens(t) for t in texts], memo)[0], return_counts=True))
-                total += len(kept[-1][0])
-                if total >= 1 << 20:
-                    yield _merged(kept)
-                    kept, total = [], 0
-        if kept:
-            yield _merged(kept)
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                counts.update(tokens(t or b""))
+                if len(counts) >= 1 << 19:
+                    yield _counted(counts)
+                    counts = Counter()
+        if counts:
+            yield _counted(counts)
 
     return docs.select(F.col(text)).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    h, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-    c = np.bincount(back, weights=np.concatenate([x for _, x in parts])).astype(np.int64)
+def _counted(counts: Counter) -> pa.RecordBatch:
+    h = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
+    c = np.fromiter(counts.values(), np.int64, len(counts))
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
 
@@ -186,40 +191,84 @@ class Weights:
         outer = np.stack([_bucket(one, OUTER), OUTER + _bucket((one * _MIX) ^ two, OUTER), 2 * OUTER + class_1 * (self.classes + 1) + class_2])
         own = np.minimum(k, self.inner_classes - 1)
         inner = np.stack([_bucket((one * _MIX) ^ own.astype(np.uint64), INNER), INNER + class_2 * self.inner_classes + own])
-        return outer, inner
+        return outer.astype(_small(len(self.outer))), inner.astype(_small(len(self.inner)))
 
 
-def _scores(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = w[rows[0]]
+def _small(size: int) -> type:
+    """A type for numbers below ``size``; those of 16 bits are sorted fast."""
+    return np.uint16 if size <= 1 << 16 else np.int64
+
+
+def _scores(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the rows of weights and the bias (one for all, or one a token), their exponentials, and the sums of these."""
+    z, ones = np.take(w, rows[0], axis=0, mode="clip"), np.ones(w.shape[1], np.float32)
     for r in rows[1:]:
-        z += w[r]
+        z += np.take(w, r, axis=0, mode="clip")
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    return z
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(z)
+        total = e @ ones
+    if len(z) and not (total.min() > 1e-30 and total.max() < 1e30):
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=e)
+        total = e @ ones
+    return z, e, total
+
 
+def log_softmax(w: np.ndarray, rows: np.ndarray, bias: np.ndarray, of: np.ndarray | None, chosen: np.ndarray) -> np.ndarray:
+    """Natural log of the chosen outcome's probability; the bias of a token is ``bias[of]``, or ``bias`` for all.
 
-def log_softmax(w: np.ndarray, rows: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Natural log of the chosen outcome's probability, batch by batch."""
+    Tokens of the same rows share one distribution, which is made once."""
     out = np.empty(len(chosen))
-    for lo in range(0, len(chosen), BATCH):
-        part = slice(lo, lo + BATCH)
-        z = _scores(w, rows[:, part], bias[part] if len(bias) == len(chosen) and bias.ndim == 2 else bias)
-        out[part] = z[np.arange(len(z)), chosen[part]] - np.log(np.exp(z).sum(axis=1))
+    key = np.zeros(len(chosen), np.uint64)
+    for r in (*rows, *(() if of is None else (of,))):
+        key = (key << np.uint64(21)) ^ r.astype(np.uint64)
+    order = np.argsort(key)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(new, len(key))
+    first, many = order[new], np.diff(ends)
+    for lo in range(0, len(new), CACHED):
+        part = first[lo : lo + CACHED]
+        z, _, total = _scores(w, rows[:, part], bias if of is None else np.take(bias, of[part], axis=0))
+        back = np.repeat(np.arange(len(part)), many[lo : lo + CACHED])
+        mine = order[ends[lo] : ends[min(lo + CACHED, len(new))]]
+        out[mine] = z[back, chosen[mine]] - np.log(total)[back]
     return out
 
 
-def _step(w: np.ndarray, q: np.ndarray, rows: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> None:
+def totals(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of ``r``, and for each the sum of its rows of ``g``: row by row, or by a product if it has many."""
+    order = np.argsort(r, kind="stable")
+    ordered = r[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    size = np.diff(first, append=len(r))
+    out = np.take(g, order[first], axis=0)
+    some, j = np.flatnonzero((size > 1) & (size <= MANY)), 1
+    while len(some):
+        out[some] += np.take(g, order[first[some] + j], axis=0)
+        j += 1
+        some = some[size[some] > j]
+    ones = np.ones(len(r), g.dtype)
+    for i in np.flatnonzero(size > MANY).tolist():
+        at = order[first[i] : first[i] + size[i]]
+        np.dot(ones[: len(at)], np.take(g, at, axis=0), out=out[i])
+    return ordered[first].astype(np.int64), out
+
+
+def _step(w: np.ndarray, q: np.ndarray, rows: np.ndarray, bias: np.ndarray, of: np.ndarray | None, chosen: np.ndarray) -> None:
     """One batch: each row moves along the sum of its tokens' gradients, by a length that falls with those so far."""
-    g = _scores(w, rows, bias)
-    np.exp(g, out=g)
-    g *= -1 / g.sum(axis=1, keepdims=True)
+    g = np.empty((len(chosen), w.shape[1]), np.float32)
+    for lo in range(0, len(chosen), CACHED):
+        part = slice(lo, min(lo + CACHED, len(chosen)))
+        _, e, total = _scores(w, rows[:, part], bias if of is None else np.take(bias, of[part], axis=0))
+        np.multiply(e, -1 / total[:, None], out=g[part])
     g[np.arange(len(chosen)), chosen] += 1
     for r in rows:
-        order = np.argsort(r, kind="stable")
-        here, first = np.unique(r[order], return_index=True)
-        total = np.add.reduceat(g[order], first, axis=0)
+        here, total = totals(g, r)
         q[here] += np.einsum("ij,ij->i", total, total)
-        w[here] += (RATE / np.sqrt(q[here]))[:, None] * total
+        total *= (RATE / np.sqrt(q[here]))[:, None]
+        total += np.take(w, here, axis=0)
+        w[here] = total
 
 
 def _looked(vocabulary: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,15 +276,25 @@ def _looked(vocabulary: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(x[back] for x in vocabulary.look(which))
 
 
-def neighbours(texts: list[bytes], front: np.ndarray, memo: Hashes) -> np.ndarray:
-    """(front tokens, 2 * NEIGHBOURS): how often each of the most frequent tokens (the last column: any other) is before and after."""
-    ids, begin = hashed([tokens(t) for t in texts], memo)
+def _ranks(front: np.ndarray):
+    """A function that tells the places of hashes in ``front`` (-1: none)."""
     order = np.argsort(front)
-    at = np.minimum(np.searchsorted(front[order], ids), max(0, len(front) - 1))
-    rank = np.where(front[order][at] == ids, order[at], -1) if len(front) else np.full(len(ids), -1)
+    ordered = front[order]
+
+    def look(h: np.ndarray) -> tuple[np.ndarray]:
+        if not len(front):
+            return (np.full(len(h), -1),)
+        at = np.minimum(np.searchsorted(ordered, h), len(front) - 1)
+        return (np.where(ordered[at] == h, order[at], -1),)
+
+    return look
+
+
+def neighbours(rank: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """(front tokens, 2 * NEIGHBOURS): how often each of the most frequent tokens (the last column: any other) is before and after."""
     after = np.append(rank[1:], -1)
     after[begin[1:] - 1] = -1
-    out = np.zeros((len(front), 2 * NEIGHBOURS), np.int64)
+    out = np.zeros((size, 2 * NEIGHBOURS), np.int64)
     known = np.flatnonzero(rank >= 0)
     for side, other in enumerate((_before(rank, begin, 1, -1), after)):
         near = np.where((other >= 0) & (other < NEIGHBOURS - 1), other, NEIGHBOURS - 1)
@@ -247,10 +306,11 @@ def _near(docs: DataFrame, front: np.ndarray) -> np.ndarray:
     given = docs.sparkSession.sparkContext.broadcast(front)
 
     def run(batches):
-        memo, total = Hashes(), None
+        words, total = Words(_ranks(given.value)), None
         for b in batches:
             for _, texts in slices(b.column(0)):
-                found = neighbours(texts, given.value, memo)
+                begin, (_, rank) = words.coded([tokens(t) for t in texts])
+                found = neighbours(rank, begin, len(given.value))
                 total = found if total is None else total + found
         if total is not None:
             at = np.flatnonzero(total)
@@ -259,37 +319,34 @@ def _near(docs: DataFrame, front: np.ndarray) -> np.ndarray:
     got = docs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((len(front), 2 * NEIGHBOURS))
     out.reshape(-1)[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    given.unpersist()
+    given.destroy()
     return out
 
 
 def _train(docs: DataFrame, vocabulary, fold: Column, n_tokens: int) -> Weights:
-    """``docs`` (text), of ``n_tokens`` tokens: FOLDS - 1 rounds."""
-    spark = docs.sparkSession
-    sc, w = spark.sparkContext, Weights(vocabulary.value.classes, vocabulary.value.inner_classes)
-    columns = [f"d{i}" for i in range(WIDE)]
-    copies = -(-n_tokens // (FOLDS * COPY_TOKENS)) or 1
-    for r in range(1, FOLDS):
+    """``docs`` (text), of ``n_tokens`` tokens: a round over each fold, so that every text moves weights once."""
+    sc, w = docs.sparkSession.sparkContext, Weights(vocabulary.value.classes, vocabulary.value.inner_classes)
+    copies, sizes = -(-n_tokens // (FOLDS * COPY_TOKENS)) or 1, (len(w.outer), len(w.inner))
+    for r in range(FOLDS):
         given = sc.broadcast(w)
 
         def run(batches):
-            memo, own, seen = Hashes(), None, None
+            words, own, seen = Words(vocabulary.value.look), None, None
             for b in batches:
                 for _, texts in slices(b.column(0)):
                     if own is None:
                         own = Weights(given.value.classes, given.value.inner_classes)
                         for name in ("outer", "inner", "outer_q", "inner_q"):
                             getattr(own, name)[:] = getattr(given.value, name)
-                        seen = {"outer": np.zeros(len(own.outer)), "inner": np.zeros(len(own.inner))}
-                    ids, begin = hashed([tokens(t) for t in texts], memo)
-                    k, place, _ = _looked(vocabulary.value, ids)
+                        seen = {"outer": np.zeros(len(own.outer), np.int64), "inner": np.zeros(len(own.inner), np.int64)}
+                    begin, (ids, k, place, _) = words.coded([tokens(t) for t in texts])
                     outer, inner = own.features(ids, k, begin)
                     for lo in range(0, len(ids), BATCH):
                         part = slice(lo, lo + BATCH)
-                        _step(own.outer, own.outer_q, outer[:, part], vocabulary.value.prior, k[part])
+                        _step(own.outer, own.outer_q, outer[:, part], vocabulary.value.prior, None, k[part])
                         some = lo + np.flatnonzero(place[part] >= 0)
                         if len(some):
-                            _step(own.inner, own.inner_q, inner[:, some], vocabulary.value.bias[k[some]], place[some])
+                            _step(own.inner, own.inner_q, inner[:, some], vocabulary.value.bias, k[some], place[some])
                     for x in outer:
                         seen["outer"] += np.bincount(x, minlength=len(own.outer))
                     for x in inner[:, place >= 0]:
@@ -298,49 +355,45 @@ def _train(docs: DataFrame, vocabulary, fold: Column, n_tokens: int) -> Weights:
                 return
             for kind, name in enumerate(("outer", "inner")):
                 table, old, q = getattr(own, name), getattr(given.value, name), getattr(own, name + "_q") - getattr(given.value, name + "_q")
-                wide = -(-table.shape[1] // WIDE)
-                touched = np.flatnonzero(seen[name])
-                for lo in range(0, len(touched), 1 << 12):
-                    at = touched[lo : lo + (1 << 12)]
-                    n = seen[name][at]
-                    moved = np.zeros((len(at), wide * WIDE), np.int16)
-                    moved[:, : table.shape[1]] = np.clip(np.rint((table[at] - old[at]) * FINE), -32767, 32767)
-                    moved = moved.reshape(-1, WIDE)
-                    rows = (at[:, None] * wide + np.arange(wide)).ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), kind, np.int8)), pa.array(rows.astype(np.int32)), pa.array(np.repeat(n, wide).astype(np.float32)), pa.array(np.repeat(q[at], wide).astype(np.float32)), *(pa.array(np.ascontiguousarray(moved[:, i])) for i in range(WIDE))],
-                        ["kind", "at", "n", "q", *columns],
-                    )
-
-        schema = "kind byte, at int, n float, q float, " + ", ".join(f"{c} short" for c in columns)
-        part = docs.where(F.pmod(fold, F.lit(FOLDS)) == r).select("text").coalesce(copies).mapInArrow(run, schema)
-        mean = lambda c: (F.sum(F.col(c).cast("double") * F.col("n")) / F.sum("n")).cast("float").alias(c)
-        got = part.groupBy("kind", "at").agg(*map(mean, ("q", *columns))).toArrow()
-        kinds, rows = got.column("kind").to_numpy(), got.column("at").to_numpy()
-        for kind, name in enumerate(("outer", "inner")):
-            table, mine = getattr(w, name), np.flatnonzero(kinds == kind)
-            if not len(mine):
-                continue
-            wide = -(-table.shape[1] // WIDE)
-            padded = np.zeros((len(table), wide * WIDE), np.float32)
-            for i, c in enumerate(columns):
-                padded.reshape(-1, WIDE)[rows[mine], i] = got.column(c).to_numpy()[mine] / FINE
-            table += padded[:, : table.shape[1]]
-            first = mine[rows[mine] % wide == 0]
-            getattr(w, name + "_q")[rows[first] // wide] += got.column("q").to_numpy()[first]
-        given.unpersist()
+                for at in range(0, len(table), ROWS):
+                    here = slice(at, at + ROWS)
+                    if seen[name][here].any():
+                        moved = np.clip(np.rint((table[here] - old[here]) * FINE), -32767, 32767).astype(np.int16)
+                        data = seen[name][here].tobytes() + q[here].tobytes() + moved.tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([at], pa.int32()), pa.array([data], pa.binary())], ["kind", "at", "data"])
+
+        def merged(key, copies):
+            rows = min(ROWS, sizes[key[0].as_py()] - key[1].as_py())
+            n = q = moved = 0
+            # In a fixed order, as q is a sum of floats; the others are sums of whole numbers.
+            for data in sorted(copies.column("data").to_pylist()):
+                seen = np.frombuffer(data, np.int64, rows)
+                n = n + seen
+                q = q + seen * np.frombuffer(data, np.float32, rows, 8 * rows).astype(np.float64)
+                moved = moved + seen[:, None] * np.frombuffer(data, np.int16, -1, 12 * rows).reshape(rows, -1)
+            n = np.maximum(n, 1)
+            data = (q / n).astype(np.float32).tobytes() + (moved / (FINE * n[:, None])).astype(np.float32).tobytes()
+            return pa.table({"kind": pa.array([key[0].as_py()], pa.int8()), "at": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+
+        part = docs.where(F.pmod(fold, F.lit(FOLDS)) == r).select("text").coalesce(copies).mapInArrow(run, MOVED)
+        for row in part.groupBy("kind", "at").applyInArrow(merged, MOVED).collect():
+            name = ("outer", "inner")[row.kind]
+            table, q = getattr(w, name)[row.at : row.at + ROWS], getattr(w, name + "_q")[row.at : row.at + ROWS]
+            q += np.frombuffer(row.data, np.float32, len(q))
+            table += np.frombuffer(row.data, np.float32, -1, 4 * len(q)).reshape(table.shape)
+        given.destroy()
     return w
 
 
-def log_probability(vocabulary: Vocabulary, w: Weights, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of each token's probability, but for rare tokens without their log10(c + 1), and each token's count (0: rare)."""
-    k, place, c = _looked(vocabulary, ids)
+def log_probability(vocabulary: Vocabulary, w: Weights, ids: np.ndarray, begin: np.ndarray, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each token's probability, but for rare tokens without their log10(c + 1), and each token's count (0: rare).
+
+    ``known``: class, place and count of each token, if they were looked up before."""
+    k, place, c = known or _looked(vocabulary, ids)
     outer, inner = w.features(ids, k, begin)
-    out = log_softmax(w.outer, outer, vocabulary.prior, k) / math.log(10)
+    out = log_softmax(w.outer, outer, vocabulary.prior, None, k) / math.log(10)
     some = np.flatnonzero(place >= 0)
-    for lo in range(0, len(some), BATCH):
-        part = some[lo : lo + BATCH]
-        out[part] += log_softmax(w.inner, inner[:, part], vocabulary.bias[k[part]], place[part]) / math.log(10)
+    out[some] += log_softmax(w.inner, inner[:, some], vocabulary.bias, k[some], place[some]) / math.log(10)
     other = np.flatnonzero(place < 0)
     out[other] += np.log10(np.maximum(c[other], 1)) - vocabulary.size[k[other]]
     return out, c
@@ -360,10 +413,10 @@ def fit(learned: DataFrame, counts: DataFrame, fold: Column) -> tuple[Vocabulary
     h, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy().astype(np.int64)
     found = Vocabulary(h, c, n_all - int(c.sum()), v_all - len(c))
     found.least = least
-    found.arrange(_near(learned.where(F.pmod(fold, F.lit(FOLDS)) == 0).select("text"), found.front))
+    found.arrange(_near(learned.select("text"), found.front))
     given = learned.sparkSession.sparkContext.broadcast(found)
     weights = _train(learned, given, fold, n_all)
-    given.unpersist()
+    given.destroy()
     return found, weights, n_all, v_all
 
 
@@ -378,11 +431,11 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     least, base = found.least, math.log10(n_all + v_all + 1)
 
     def run(batches):
-        memo = Hashes()
+        words = Words(model.value[0].look)
         for b in batches:
             for first, texts in slices(b.column(0)):
-                ids, begin = hashed([tokens(t) for t in texts], memo)
-                inner, c = log_probability(*model.value, ids, begin)
+                begin, (ids, *known) = words.coded([tokens(t) for t in texts])
+                inner, c = log_probability(*model.value, ids, begin, known)
                 logs = np.log10(c + 1.0)
                 n = np.diff(begin)
                 # Rare tokens get their log10(c + 1) by the join, for both scores.

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,34 @@ class Hashes(dict):
         return value
 
 
+class Words(dict):
+    """Word to its number by order of arrival, with columns by number: its 64-bit hash and what ``look`` tells of hashes.
+
+    Forgets all between two runs of texts once it has grown beyond ``most`` words."""
+
+    def __init__(self, look: Callable[[np.ndarray], tuple], most: int = 1 << 18):
+        super().__init__()
+        self.look, self.most, self.new, self.columns = look, most, [], None
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        self.new.append(xxhash.xxh64_intdigest(word))
+        return value
+
+    def coded(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Where each text's words begin (and the last one's end), and the columns of all words."""
+        if len(self) > self.most:
+            self.clear()
+            self.columns = None
+        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int32, int(begin[-1]))
+        if self.new or self.columns is None:
+            h, self.new = np.array(self.new, np.uint64), []
+            found = (h, *self.look(h))
+            self.columns = [np.concatenate(x) for x in zip(self.columns, found)] if self.columns else list(found)
+        return begin, [x[at] for x in self.columns]
+
+
 def slices(col: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """The texts of a column (null: empty) in runs of about ``size`` bytes, each with its first row."""
     part: list[bytes] = []

@@ -182,3 +182,27 @@ def test_cotraining_counts_of_content_change_by_exchange(spark, monkeypatch):
     got = cotrain.score(docs, labels, third(1) == False, rounds=1)  # noqa: E712
     assert got.count() == docs.count() and len(seen) == 2
     assert all(after.sum() > before.sum() for before, after in zip(*seen))
+
+
+def test_language_model_learns_from_every_training_text(spark, monkeypatch):
+    counted, plain = [], maxent._near
+    monkeypatch.setattr(maxent, "_near", lambda docs, front: counted.append(docs.count()) or plain(docs, front))
+    docs = spark.createDataFrame([(i, f"one{i} two{i} one{i} two{i}") for i in range(60)], "doc_id long, text string")
+    voc, weights, n, _ = maxent.fit(docs, maxent.count_tokens(docs, "text"), F.xxhash64(F.lit("fold"), F.col("doc_id")))
+    assert counted == [60] and n == 300
+    memo = maxent.Hashes()
+    for i in range(60):
+        ids = np.array([memo[b"one%d" % i], memo[b"two%d" % i], memo[b" "]], np.uint64)
+        outer, _ = weights.features(ids, voc.look(ids)[0], np.array([0, 3]))
+        # The words of this text alone stand before its tokens.
+        assert weights.outer_q[outer[0, 1]] > 1 and np.abs(weights.outer[outer[0, 1]]).max() > 0, i
+
+
+def test_gradients_are_summed_by_row():
+    rng = np.random.default_rng(3)
+    r = np.concatenate([np.full(90, 7), rng.integers(0, 60, 200), [65000]]).astype(np.uint16)
+    g = rng.normal(size=(len(r), 5)).astype(np.float32)
+    here, total = maxent.totals(g, r)
+    assert here.tolist() == sorted(set(r.tolist()))
+    for x, t in zip(here, total):
+        assert np.allclose(t, g[r == x].sum(axis=0), atol=1e-4)
