@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rasterloom.llm import near_copies as n
@@ -49,3 +50,30 @@ def test_blocks_do_not_change_classes(spark):
     for block in (1000, 7):
         got = n.classes(df, F.xxhash64("text"), block=block).collect()
         assert len(got) == 60 and {r.component_id for r in got} == {0}
+
+
+def test_candidates_are_those_of_bit_sliced_simhash(spark):
+    rnd, texts = random.Random(11), []
+    for _ in range(30):
+        words = [f"w{rnd.getrandbits(40)}" for _ in range(200)]
+        texts += [" ".join(words), edited(rnd, words, 90)]
+    bits = n.fingerprints([t.encode() for t in texts], n.Hashes())
+    for t, got in zip(texts[:4], bits):
+        h, _ = n.shingles([f"{t} {t}".encode()], n.Hashes())
+        assert got.shape == (n.BITS,) and abs(int(got.sum()) - n.BITS // 2) < 60 and len(set(h.tolist())) < len(h)
+    # Three groups of lanes of different sizes, against distances pair by pair.
+    prints = np.packbits(bits[:, : n.WIDE], axis=1, bitorder="little")
+    for radius_bits in (0, n.RADIUS, n.RADIUS + 1):
+        other = bits[0].copy()
+        other[:radius_bits] ^= 1
+        pair = np.packbits(np.stack([bits[0], other])[:, : n.WIDE], axis=1, bitorder="little")
+        assert bool(n.candidates([(np.array([1, 2]), pair)])) == (radius_bits <= n.RADIUS)
+    names = np.arange(60)
+    got = n.candidates([(names[:31], prints[:31]), (names[31:34], prints[31:34]), (names[34:], prints[34:])])
+    apart = (bits[:, None, : n.WIDE] != bits[None, :, : n.WIDE]).sum(axis=2)
+    assert sorted(got) == [(k + 1, k) for k in range(0, 60, 2) if apart[k, k + 1] <= n.RADIUS and k != 30]
+    # As a table: the same links whatever the lanes of a block.
+    rows_ = [(i, p.tobytes(), k.tolist()) for i, (p, k) in enumerate(zip(prints, n.bands(bits)))]
+    df = spark.createDataFrame(rows_, "th long, print binary, bands array<int>")
+    for lanes in (1000, 1):
+        assert {(max(r), min(r)) for r in n.links(df, lanes).collect()} == {(k + 1, k) for k in range(0, 60, 2)}
