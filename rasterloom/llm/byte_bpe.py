@@ -61,6 +61,12 @@ def encode_stretch(text: str, ranks: bytes, pattern: str) -> list[int]:
     return out
 
 
+def decode_ids(ids: list, ranks: bytes) -> list[bytes]:
+    """The raw bytes of each list of ids, one after another (null: none)."""
+    raw = _raw(ranks).__getitem__
+    return [b"".join(map(raw, x or ())) for x in ids]
+
+
 def _boundaries(text: str, start: int, pattern: regex.Pattern, until: int) -> list[int]:
     """Ends, after ``start``, of the pre-tokens of ``text`` that a cut may follow and the text's end cannot change."""
     found = []
@@ -72,8 +78,9 @@ def _boundaries(text: str, start: int, pattern: regex.Pattern, until: int) -> li
     return found
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = True) -> DataFrame:
-    """``docs`` and ``out``, the token ids as array<int>; the text itself only if ``keep``."""
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, keep: bool = True, decoded: str | None = None) -> DataFrame:
+    """``docs`` and ``out``, the token ids as array<int>; the text itself only if ``keep``; ``decoded``: as ``decode`` gives,
+    made by the worker that has the ids, so that no second one is held beside it."""
     out = fresh(docs, out)
     if not 0 < overlap < chunk:
         raise ValueError("the overlap must be shorter than a chunk")
@@ -81,17 +88,21 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out:
     at = docs.columns.index(text)
     kept = [i for i in range(len(docs.columns)) if keep or i != at]
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    if decoded:
+        schema = schema.add(decoded := fresh(docs.withColumn(out, F.lit(0)), decoded), T.BinaryType(), False)
 
     def whole(batches):
         for b in batches:
             for lo, part in _slices(b):
                 ids = [encode_stretch(t or "", given.value, pattern) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(ids, pa.list_(pa.int32()))], schema.names)
+                plain = [pa.array(decode_ids(ids, given.value), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(ids, pa.list_(pa.int32())), *plain], schema.names)
 
     size = F.coalesce(F.char_length(F.col(text)), F.lit(0))
     short = docs.where(size <= chunk).mapInArrow(whole, schema)
     long = _long(docs.where(size > chunk), text, out, given, pattern, chunk, overlap)
-    return short.unionByName(long if keep else long.drop(text))
+    long = long if keep else long.drop(text)
+    return short.unionByName(decode(long, ranks, out, decoded) if decoded else long)
 
 
 def _slices(b: pa.RecordBatch, rows: int = 64):
@@ -163,10 +174,9 @@ def decode(coded: DataFrame, ranks: bytes, ids: str = "ids", out: str = "bytes")
     given = coded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        raw = _raw(given.value).__getitem__
         for b in batches:
             for _, part in _slices(b):
-                plain = [b"".join(map(raw, x or ())) for x in part.column(at).to_pylist()]
+                plain = decode_ids(part.column(at).to_pylist(), given.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(plain, pa.binary())], [*b.schema.names, out])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(out, T.BinaryType(), False)]))

@@ -44,3 +44,16 @@ def test_repeated_rows_and_clashing_columns(spark):
     got = b.encode(df, RANKS, P.PATTERN, chunk=64, overlap=16).collect()
     assert sorted(map(len, (r.ids for r in got))) == sorted(len(WHOLE.encode_ordinary(t)) for t in (long, long, "a b", ""))
     assert all(r.ids == WHOLE.encode_ordinary(r.text or "") for r in got) and [(r["_bpe_row"], r.no) for r in got if r.doc_id] == [(5, 6)] * 3
+
+
+def test_ids_are_decoded_where_they_are_made(spark):
+    """The same rows as by ``decode``, without a second Python worker beside that of the short texts."""
+    long = "word's 12 é\n" * 40
+    df = spark.createDataFrame([(1, long, 5), (2, "a b", 5), (3, "", 5), (None, None, None)], "doc_id long, text string, bytes int")
+    coded = b.encode(df, RANKS, P.PATTERN, chunk=64, overlap=16, keep=False)
+    met = b.encode(df, RANKS, P.PATTERN, chunk=64, overlap=16, keep=False, decoded="bytes")
+    want = b.decode(coded, RANKS)
+    assert met.dtypes == want.dtypes and sorted(met.collect(), key=str) == sorted(want.collect(), key=str)
+    assert {r.doc_id: bytes(r["_bytes"]) for r in met.collect()} == {1: long.encode(), 2: b"a b", 3: b"", None: b""}
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInArrow" not in plan[: plan.index("Union")]
