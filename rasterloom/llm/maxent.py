@@ -56,7 +56,8 @@ FOLDS = 2
 RATE = 1.0
 BATCH = 1 << 14
 CACHED = 1 << 9  # distributions that are made at once
-MANY = 16  # rows whose gradients are summed by a product beyond
+STEP = 1 << 8  # gradients that are made at once, in place
+MANY = 48  # rows whose gradients are summed by a product beyond
 COPY_TOKENS = 1 << 21
 ROWS = 64  # rows of weights that are sent together
 FINE = 2048.0  # moves are sent as whole numbers of this part
@@ -237,37 +238,51 @@ def log_softmax(w: np.ndarray, rows: np.ndarray, bias: np.ndarray, of: np.ndarra
 
 
 def totals(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different values of ``r``, and for each the sum of its rows of ``g``: row by row, or by a product if it has many."""
+    """The different values of ``r``, and for each the sum of its rows of ``g``: by a product if it has many, else row by
+    row, those of most rows first, so that values with a further row lie together."""
     order = np.argsort(r, kind="stable")
     ordered = r[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     size = np.diff(first, append=len(r))
-    out = np.take(g, order[first], axis=0)
-    some, j = np.flatnonzero((size > 1) & (size <= MANY)), 1
-    while len(some):
-        out[some] += np.take(g, order[first[some] + j], axis=0)
-        j += 1
-        some = some[size[some] > j]
+    values, down = ordered[first].astype(np.int64), np.argsort(-size, kind="stable")
+    first, size = first[down], size[down]
+    out = np.take(g, order[first], axis=0, mode="clip")
+    heavy = int(np.searchsorted(-size, -MANY, "left"))
+    for j in range(1, min(MANY, int(size[0])) if len(size) else 0):
+        more = int(np.searchsorted(-size, -j, "left"))
+        out[heavy:more] += np.take(g, order[first[heavy:more] + j], axis=0, mode="clip")
     ones = np.ones(len(r), g.dtype)
-    for i in np.flatnonzero(size > MANY).tolist():
+    for i in range(heavy):
         at = order[first[i] : first[i] + size[i]]
-        np.dot(ones[: len(at)], np.take(g, at, axis=0), out=out[i])
-    return ordered[first].astype(np.int64), out
+        np.dot(ones[: len(at)], np.take(g, at, axis=0, mode="clip"), out=out[i])
+    back = np.empty(len(down), np.int64)
+    back[down] = np.arange(len(down))
+    return values, np.take(out, back, axis=0, mode="clip")
 
 
 def _step(w: np.ndarray, q: np.ndarray, rows: np.ndarray, bias: np.ndarray, of: np.ndarray | None, chosen: np.ndarray) -> None:
     """One batch: each row moves along the sum of its tokens' gradients, by a length that falls with those so far."""
     g = np.empty((len(chosen), w.shape[1]), np.float32)
-    for lo in range(0, len(chosen), CACHED):
-        part = slice(lo, min(lo + CACHED, len(chosen)))
-        _, e, total = _scores(w, rows[:, part], bias if of is None else np.take(bias, of[part], axis=0))
-        np.multiply(e, -1 / total[:, None], out=g[part])
-    g[np.arange(len(chosen)), chosen] += 1
+    ones, held = np.ones(w.shape[1], np.float32), np.empty((STEP, w.shape[1]), np.float32)
+    for lo in range(0, len(chosen), STEP):
+        part = slice(lo, min(lo + STEP, len(chosen)))
+        e, more = g[part], held[: part.stop - lo]
+        np.take(w, rows[0, part], axis=0, mode="clip", out=e)
+        for r in rows[1:, part]:
+            e += np.take(w, r, axis=0, mode="clip", out=more)
+        e += bias if of is None else np.take(bias, of[part], axis=0, mode="clip", out=more)
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(e, out=e)
+            total = e @ ones
+        if not (total.min() > 1e-30 and total.max() < 1e30):
+            _, e[:], total = _scores(w, rows[:, part], bias if of is None else np.take(bias, of[part], axis=0))
+        e *= (-1 / total)[:, None]
+    g.reshape(-1)[np.arange(0, g.size, w.shape[1]) + chosen] += 1
     for r in rows:
         here, total = totals(g, r)
         q[here] += np.einsum("ij,ij->i", total, total)
         total *= (RATE / np.sqrt(q[here]))[:, None]
-        total += np.take(w, here, axis=0)
+        total += np.take(w, here, axis=0, mode="clip")
         w[here] = total
 
 

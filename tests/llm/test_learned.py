@@ -206,3 +206,23 @@ def test_gradients_are_summed_by_row():
     assert here.tolist() == sorted(set(r.tolist()))
     for x, t in zip(here, total):
         assert np.allclose(t, g[r == x].sum(axis=0), atol=1e-4)
+
+
+def test_steps_in_place_equal_plain_gradients():
+    """A step over more tokens than are made at once, with weights whose exponentials overflow, as by plain sums in 64 bits."""
+    rng = np.random.default_rng(5)
+    n = maxent.STEP * 2 + 7
+    rows, chosen = rng.integers(0, 40, (2, n)).astype(np.uint16), rng.integers(0, 6, n)
+    for scale in (1, 200):
+        w = (rng.normal(size=(40, 6)) * scale).astype(np.float32)
+        want, q, squares = w.astype(np.float64), np.ones(40, np.float32), np.ones(40)
+        z = w.astype(np.float64)[rows].sum(axis=0)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        g = np.eye(6)[chosen] - p / p.sum(axis=1, keepdims=True)
+        for r in rows:
+            total = np.zeros((40, 6))
+            np.add.at(total, r, g)
+            squares += (total * total).sum(axis=1)
+            want += maxent.RATE * total / np.sqrt(squares)[:, None]
+        maxent._step(w, q, rows, np.zeros(6, np.float32), None, chosen)
+        assert np.allclose(w, want, rtol=1e-4, atol=1e-3) and np.allclose(q, squares, rtol=1e-3)
