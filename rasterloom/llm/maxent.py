@@ -32,17 +32,16 @@ tokens are in memory at once, as numbers (some 100 bytes a token while its batch
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut_lineage
-from .tokens import Hashes, Words, slices, sums
+from .tokens import Hashes, numbered, runs, sums
 
 HEAD = 1 << 19
 FRONT = 6144
@@ -55,8 +54,9 @@ INNER = 1 << 15  # rows of the hashed feature within classes
 FOLDS = 2
 RATE = 1.0
 BATCH = 1 << 14
+COUNTED = 8 << 20  # bytes of texts that are counted at once
 CACHED = 1 << 9  # distributions that are made at once
-STEP = 1 << 8  # gradients that are made at once, in place
+STEP = 1 << 9  # gradients, or sums of them, that are made at once, in place
 MANY = 48  # rows whose gradients are summed by a product beyond
 COPY_TOKENS = 1 << 21
 ROWS = 64  # rows of weights that are sent together
@@ -67,33 +67,53 @@ END = b" "
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
-
-
 def count_tokens(docs: DataFrame, text: str) -> DataFrame:
     """(h, c): how often each token, by its hash, occurs in all texts."""
 
     def run(batches):
-        counts = Counter()
+        held, size = [], 0
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                counts.update(tokens(t or b""))
-                if len(counts) >= 1 << 19:
-                    yield _counted(counts)
-                    counts = Counter()
-        if counts:
-            yield _counted(counts)
+            for _, texts in runs(b.column(0), COUNTED):
+                _, at, h = numbered(texts, END)
+                held.append((h, np.bincount(at, minlength=len(h))))
+                size += len(h)
+                if size >= 1 << 20:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size >= 1 << 19:
+                        yield _counted(held)
+                        held, size = [], 0
+        if held:
+            yield _counted(held)
 
     return docs.select(F.col(text)).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    h = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
-    c = np.fromiter(counts.values(), np.int64, len(counts))
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes and their counts, of several lists of both."""
+    h, c = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(c[order], first)
+
+
+def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    h, c = _merged(held)
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
 
+def coded(texts: pa.Array, look) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each text's tokens begin (and the last one's end); of all tokens, the hash and what ``look`` tells of hashes."""
+    begin, at, h = numbered(texts, END)
+    # Ordered hashes are looked up faster.
+    order = np.argsort(h)
+    back = np.empty(len(h), np.int64)
+    back[order] = np.arange(len(h))
+    h, at = h[order], back[at]
+    return begin, [x[at] for x in (h, *look(h))]
+
+
 class Vocabulary:
     """Frequent tokens by hash, with counts, classes and places in them, and the sizes of all classes."""
 
@@ -228,36 +248,61 @@ def log_softmax(w: np.ndarray, rows: np.ndarray, bias: np.ndarray, of: np.ndarra
     new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else np.zeros(0, np.int64)
     ends = np.append(new, len(key))
     first, many = order[new], np.diff(ends)
+    held, ones = np.empty((2, CACHED, w.shape[1]), np.float32), np.ones(w.shape[1], np.float32)
     for lo in range(0, len(new), CACHED):
         part = first[lo : lo + CACHED]
-        z, _, total = _scores(w, rows[:, part], bias if of is None else np.take(bias, of[part], axis=0))
+        z, e = held[:, : len(part)]
+        total = _exponentials(w, rows[:, part], bias, None if of is None else of[part], z, e, e, ones)
+        if total is None:
+            z, _, total = _scores(w, rows[:, part], bias if of is None else np.take(bias, of[part], axis=0))
         back = np.repeat(np.arange(len(part)), many[lo : lo + CACHED])
         mine = order[ends[lo] : ends[min(lo + CACHED, len(new))]]
         out[mine] = z[back, chosen[mine]] - np.log(total)[back]
     return out
 
 
-def totals(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _exponentials(w: np.ndarray, rows: np.ndarray, bias: np.ndarray, of: np.ndarray | None, z: np.ndarray, more: np.ndarray, e: np.ndarray, ones: np.ndarray) -> np.ndarray | None:
+    """Fills ``z`` with the sums of the rows of weights and the bias, then ``e`` with their exponentials: the sums of these,
+    or None if they leave the numbers' range. ``more`` is spoilt; ``e`` may be ``z`` or ``more``."""
+    np.take(w, rows[0], axis=0, mode="clip", out=z)
+    for r in rows[1:]:
+        z += np.take(w, r, axis=0, mode="clip", out=more)
+    z += bias if of is None else np.take(bias, of, axis=0, mode="clip", out=more)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(z, out=e)
+        total = e @ ones
+    return total if total.min() > 1e-30 and total.max() < 1e30 else None
+
+
+def summed(g: np.ndarray, r: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The different values of ``r``, and for each the sum of its rows of ``g``: by a product if it has many, else row by
-    row, those of most rows first, so that values with a further row lie together."""
+    row. Those of most rows come first, ``STEP`` at once, in a place that the next ones take."""
     order = np.argsort(r, kind="stable")
     ordered = r[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(r) else np.zeros(0, np.int64)
     size = np.diff(first, append=len(r))
-    values, down = ordered[first].astype(np.int64), np.argsort(-size, kind="stable")
+    down = np.argsort(-size, kind="stable")
     first, size = first[down], size[down]
-    out = np.take(g, order[first], axis=0, mode="clip")
-    heavy = int(np.searchsorted(-size, -MANY, "left"))
-    for j in range(1, min(MANY, int(size[0])) if len(size) else 0):
-        more = int(np.searchsorted(-size, -j, "left"))
-        out[heavy:more] += np.take(g, order[first[heavy:more] + j], axis=0, mode="clip")
-    ones = np.ones(len(r), g.dtype)
-    for i in range(heavy):
-        at = order[first[i] : first[i] + size[i]]
-        np.dot(ones[: len(at)], np.take(g, at, axis=0, mode="clip"), out=out[i])
-    back = np.empty(len(down), np.int64)
-    back[down] = np.arange(len(down))
-    return values, np.take(out, back, axis=0, mode="clip")
+    values, heavy = ordered[first].astype(np.int64), int(np.searchsorted(-size, -MANY, "left"))
+    ones, held = np.ones(len(r), g.dtype), np.empty((2, STEP, g.shape[1]), g.dtype)
+    for lo in range(0, len(values), STEP):
+        hi = min(lo + STEP, len(values))
+        light, out, more = max(lo, min(heavy, hi)), held[0, : hi - lo], held[1]
+        np.take(g, order[first[lo:hi]], axis=0, mode="clip", out=out)
+        for j in range(1, int(size[light]) if light < hi else 0):
+            last = lo + int(np.searchsorted(-size[lo:hi], -j, "left"))
+            out[light - lo : last - lo] += np.take(g, order[first[light:last] + j], axis=0, mode="clip", out=more[: last - light])
+        for i in range(lo, light):
+            at = order[first[i] : first[i] + size[i]]
+            np.dot(ones[: len(at)], np.take(g, at, axis=0, mode="clip"), out=out[i - lo])
+        yield values[lo:hi], out
+
+
+def totals(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All of ``summed``, by value."""
+    values, out = (np.concatenate(x) for x in zip(*((v, t.copy()) for v, t in summed(g, r))))
+    order = np.argsort(values)
+    return values[order], out[order]
 
 
 def _step(w: np.ndarray, q: np.ndarray, rows: np.ndarray, bias: np.ndarray, of: np.ndarray | None, chosen: np.ndarray) -> None:
@@ -266,24 +311,18 @@ def _step(w: np.ndarray, q: np.ndarray, rows: np.ndarray, bias: np.ndarray, of:
     ones, held = np.ones(w.shape[1], np.float32), np.empty((STEP, w.shape[1]), np.float32)
     for lo in range(0, len(chosen), STEP):
         part = slice(lo, min(lo + STEP, len(chosen)))
-        e, more = g[part], held[: part.stop - lo]
-        np.take(w, rows[0, part], axis=0, mode="clip", out=e)
-        for r in rows[1:, part]:
-            e += np.take(w, r, axis=0, mode="clip", out=more)
-        e += bias if of is None else np.take(bias, of[part], axis=0, mode="clip", out=more)
-        with np.errstate(over="ignore", invalid="ignore"):
-            np.exp(e, out=e)
-            total = e @ ones
-        if not (total.min() > 1e-30 and total.max() < 1e30):
+        e = g[part]
+        total = _exponentials(w, rows[:, part], bias, None if of is None else of[part], e, held[: len(e)], e, ones)
+        if total is None:
             _, e[:], total = _scores(w, rows[:, part], bias if of is None else np.take(bias, of[part], axis=0))
         e *= (-1 / total)[:, None]
     g.reshape(-1)[np.arange(0, g.size, w.shape[1]) + chosen] += 1
     for r in rows:
-        here, total = totals(g, r)
-        q[here] += np.einsum("ij,ij->i", total, total)
-        total *= (RATE / np.sqrt(q[here]))[:, None]
-        total += np.take(w, here, axis=0, mode="clip")
-        w[here] = total
+        for here, total in summed(g, r):
+            q[here] += np.einsum("ij,ij->i", total, total)
+            total *= (RATE / np.sqrt(q[here]))[:, None]
+            total += np.take(w, here, axis=0, mode="clip")
+            w[here] = total
 
 
 def _looked(vocabulary: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,10 +360,10 @@ def _near(docs: DataFrame, front: np.ndarray) -> np.ndarray:
     given = docs.sparkSession.sparkContext.broadcast(front)
 
     def run(batches):
-        words, total = Words(_ranks(given.value)), None
+        look, total = _ranks(given.value), None
         for b in batches:
-            for _, texts in slices(b.column(0)):
-                begin, (_, rank) = words.coded([tokens(t) for t in texts])
+            for _, texts in runs(b.column(0)):
+                begin, (_, rank) = coded(texts, look)
                 found = neighbours(rank, begin, len(given.value))
                 total = found if total is None else total + found
         if total is not None:
@@ -346,15 +385,15 @@ def _train(docs: DataFrame, vocabulary, fold: Column, n_tokens: int) -> Weights:
         given = sc.broadcast(w)
 
         def run(batches):
-            words, own, seen = Words(vocabulary.value.look), None, None
+            own = seen = None
             for b in batches:
-                for _, texts in slices(b.column(0)):
+                for _, texts in runs(b.column(0)):
                     if own is None:
                         own = Weights(given.value.classes, given.value.inner_classes)
                         for name in ("outer", "inner", "outer_q", "inner_q"):
                             getattr(own, name)[:] = getattr(given.value, name)
                         seen = {"outer": np.zeros(len(own.outer), np.int64), "inner": np.zeros(len(own.inner), np.int64)}
-                    begin, (ids, k, place, _) = words.coded([tokens(t) for t in texts])
+                    begin, (ids, k, place, _) = coded(texts, vocabulary.value.look)
                     outer, inner = own.features(ids, k, begin)
                     for lo in range(0, len(ids), BATCH):
                         part = slice(lo, lo + BATCH)
@@ -391,11 +430,12 @@ def _train(docs: DataFrame, vocabulary, fold: Column, n_tokens: int) -> Weights:
             return pa.table({"kind": pa.array([key[0].as_py()], pa.int8()), "at": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
 
         part = docs.where(F.pmod(fold, F.lit(FOLDS)) == r).select("text").coalesce(copies).mapInArrow(run, MOVED)
-        for row in part.groupBy("kind", "at").applyInArrow(merged, MOVED).collect():
-            name = ("outer", "inner")[row.kind]
-            table, q = getattr(w, name)[row.at : row.at + ROWS], getattr(w, name + "_q")[row.at : row.at + ROWS]
-            q += np.frombuffer(row.data, np.float32, len(q))
-            table += np.frombuffer(row.data, np.float32, -1, 4 * len(q)).reshape(table.shape)
+        for kind, at, data in zip(*part.groupBy("kind", "at").applyInArrow(merged, MOVED).toArrow().columns):
+            kind, at, data = kind.as_py(), at.as_py(), data.as_buffer()
+            name = ("outer", "inner")[kind]
+            table, q = getattr(w, name)[at : at + ROWS], getattr(w, name + "_q")[at : at + ROWS]
+            q += np.frombuffer(data, np.float32, len(q))
+            table += np.frombuffer(data, np.float32, -1, 4 * len(q)).reshape(table.shape)
         given.destroy()
     return w
 
@@ -446,10 +486,9 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     least, base = found.least, math.log10(n_all + v_all + 1)
 
     def run(batches):
-        words = Words(model.value[0].look)
         for b in batches:
-            for first, texts in slices(b.column(0)):
-                begin, (ids, *known) = words.coded([tokens(t) for t in texts])
+            for first, texts in runs(b.column(0)):
+                begin, (ids, *known) = coded(texts, model.value[0].look)
                 inner, c = log_probability(*model.value, ids, begin, known)
                 logs = np.log10(c + 1.0)
                 n = np.diff(begin)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 # Letters, digits and bytes of other scripts stay (A-Z as a-z); all else becomes a space.
@@ -27,34 +27,6 @@ class Hashes(dict):
         return value
 
 
-class Words(dict):
-    """Word to its number by order of arrival, with columns by number: its 64-bit hash and what ``look`` tells of hashes.
-
-    Forgets all between two runs of texts once it has grown beyond ``most`` words."""
-
-    def __init__(self, look: Callable[[np.ndarray], tuple], most: int = 1 << 18):
-        super().__init__()
-        self.look, self.most, self.new, self.columns = look, most, [], None
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        self.new.append(xxhash.xxh64_intdigest(word))
-        return value
-
-    def coded(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Where each text's words begin (and the last one's end), and the columns of all words."""
-        if len(self) > self.most:
-            self.clear()
-            self.columns = None
-        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-        at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int32, int(begin[-1]))
-        if self.new or self.columns is None:
-            h, self.new = np.array(self.new, np.uint64), []
-            found = (h, *self.look(h))
-            self.columns = [np.concatenate(x) for x in zip(self.columns, found)] if self.columns else list(found)
-        return begin, [x[at] for x in self.columns]
-
-
 def slices(col: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """The texts of a column (null: empty) in runs of about ``size`` bytes, each with its first row."""
     part: list[bytes] = []
@@ -69,6 +41,37 @@ def slices(col: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, list[bytes
         yield first, part
 
 
+def runs(col: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """The runs of ``slices``, as parts of the column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = before = 0
+    while first < len(col):
+        last = min(int(np.searchsorted(ends, before + size)) + 1, len(col))
+        yield first, col.slice(first, last - first)
+        first, before = last, ends[last - 1]
+
+
+def numbered(texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of texts (null: none), A-Z lower-cased, and one ``end``, which holds a space, after each text.
+
+    Where each text begins (and the last one's end), the number of each word, and the hashes of the different words by number."""
+    # Arrow's functions for ASCII take bytes as they are; they only want them to be called a string.
+    given = pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())
+    found = pc.ascii_split_whitespace(pc.ascii_lower(given))
+    every, ends = found.values, found.offsets.to_numpy()
+    full = pc.not_equal(pc.binary_length(every), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])[ends]
+    begin = before - before[0] + np.arange(len(ends))
+    coded = every.filter(full).dictionary_encode()
+    different = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, different), np.uint64, len(different))
+    at = np.full(begin[-1], len(h), np.int64)
+    word = np.ones(len(at), bool)
+    word[begin[1:] - 1] = False
+    at[word] = coded.indices.to_numpy()
+    return begin, at, np.append(h, np.uint64(xxhash.xxh64_intdigest(end)))
+
+
 def hashed(texts: list[list[bytes]], memo: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where each text's begin (and the last one's end)."""
     begin = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])

@@ -3,9 +3,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from rasterloom.llm import cotrain, maxent, toxicity
+from rasterloom.llm.tokens import numbered, runs, slices
 
 SF = "/root/testdata/sf0.001"
 
@@ -226,3 +229,46 @@ def test_steps_in_place_equal_plain_gradients():
             want += maxent.RATE * total / np.sqrt(squares)[:, None]
         maxent._step(w, q, rows, np.zeros(6, np.float32), None, chosen)
         assert np.allclose(w, want, rtol=1e-4, atol=1e-3) and np.allclose(q, squares, rtol=1e-3)
+
+
+def test_tokens_of_a_run_are_those_of_bytes():
+    """All bytes beside words, null, blank and empty texts, and parts of a column: as lower-cased and split text by text."""
+    texts = [b" One\ttwo\x0b\x0cTWO\x1cx ", None, b"", b" \r\n", bytes(range(256)), *(bytes([65, i, 90]) for i in range(256)), b"one " * 400, "Ä É".encode()]
+    col = pa.array([b"before", *texts, b"after"], pa.binary()).slice(1, len(texts))
+    for size in (1, 300, 1 << 20):
+        got = []
+        for first, part in runs(col, size):
+            assert first == len(got)
+            begin, at, h = numbered(part, maxent.END)
+            assert len(set(h.tolist())) == len(h) == len(np.unique(at))
+            begins, (ids, twice) = maxent.coded(part, lambda x: (x * np.uint64(2),))
+            assert begins.tolist() == begin.tolist() and (ids == h[at]).all() and (twice == ids * np.uint64(2)).all()
+            got += [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])]
+        assert got == [[xxhash.xxh64_intdigest(w) for w in [*(t or b"").lower().split(), maxent.END]] for t in texts]
+        assert [(first, part.to_pylist()) for first, part in runs(col, size)] == [(first, [texts[first + i] for i in range(len(part))]) for first, part in slices(col, size)]
+    assert list(runs(col.slice(0, 0))) == []
+
+
+def test_a_run_looks_up_each_word_once():
+    """The different words of a run, in the order of their hashes, whatever their number of occurrences."""
+    seen = []
+    maxent.coded(pa.array(["a b a b a c", "b a A B", None] * 50), lambda h: seen.append(h.tolist()) or (h,))
+    assert len(seen) == 1 and seen[0] == sorted(xxhash.xxh64_intdigest(w) for w in (b"a", b"b", b"c", maxent.END))
+
+
+def test_sums_of_gradients_come_in_blocks():
+    """No more sums than a block at once, those of most rows first, and the same bits as row by row."""
+    rng = np.random.default_rng(8)
+    r = np.concatenate([rng.integers(0, 900, 2000), np.full(maxent.MANY, 901)]).astype(np.uint16)
+    g = rng.normal(size=(len(r), 7)).astype(np.float32)
+    sizes, got = [], {}
+    for here, total in maxent.summed(g, r):
+        assert len(here) <= maxent.STEP
+        sizes += np.bincount(r)[here].tolist()
+        got |= {int(x): t.copy() for x, t in zip(here, total)}
+    assert sizes == sorted(sizes, reverse=True) and set(got) == set(r.tolist())
+    for x, total in got.items():
+        want = np.zeros(7, np.float32)
+        for row in g[r == x]:
+            want = want + row
+        assert (total == want).all()
