@@ -76,9 +76,9 @@ def box_iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both, box_area(a) + box_area(b) - both), F.lit(0.0))
 
 
-def overlap_fraction(a: Column, b: Column) -> Column:
-    """Intersection over the smaller area, within 0..1; null if that area is not positive."""
-    least = F.least(box_area(a), box_area(b))
+def overlap_fraction(a: Column, b: Column, least: Column | None = None) -> Column:
+    """Intersection over the smaller area (``least``, where it is known), within 0..1; null if that area is not positive."""
+    least = F.least(box_area(a), box_area(b)) if least is None else least
     return F.when(least > 0, F.least(F.greatest(box_intersection(a, b) / least, F.lit(0.0)), F.lit(1.0)))
 
 

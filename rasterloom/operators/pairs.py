@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 
 
-def overlapping(boxes: DataFrame, key: str = "id") -> DataFrame:
+def overlapping(boxes: DataFrame, key: str = "id", area: str | None = None, least: float = 0.0) -> DataFrame:
     """(a, b, overlap) for pairs a < b of boxes (x1, y1, x2, y2) that share area.
 
+    ``area`` names a column of the boxes' areas, where these are known better than from the corners, whose differences
+    are rounded. Intersections no wider or no higher than ``least`` count as none.
+
     Each box has a level by its size: cells of a level are at least as wide as its boxes and less than twice as wide,
     so a box touches four cells of its level at most, and four of any higher one. A pair meets in the level of the
     larger box, in the cell that holds the corner of its intersection: no box is dealt to many cells, however unequal
@@ -18,7 +21,8 @@ def overlapping(boxes: DataFrame, key: str = "id") -> DataFrame:
     """
     x, y = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     fine = (x > 0) & (y > 0) & (x < float("inf")) & (y < float("inf"))
-    sized = boxes.where(fine).select(key, F.struct("x1", "y1", "x2", "y2").alias("box"), F.ceil(F.log2(F.greatest(x, y))).cast("int").alias("own"))
+    held = F.struct("x1", "y1", "x2", "y2", (N.box_area({c: F.col(c) for c in ("x1", "y1", "x2", "y2")}) if area is None else F.col(area)).alias("area"))
+    sized = boxes.where(fine).select(key, held.alias("box"), F.ceil(F.log2(F.greatest(x, y))).cast("int").alias("own"))
     # Sizes of doubles have about two thousand levels, so this row is small whatever the table.
     present = sized.agg(F.collect_set("own").alias("levels"))
     each = sized.crossJoin(F.broadcast(present)).select(key, "box", "own", F.explode(F.filter("levels", lambda v: v >= F.col("own"))).alias("level"))
@@ -29,8 +33,11 @@ def overlapping(boxes: DataFrame, key: str = "id") -> DataFrame:
     small = dealt.select(F.col(key).alias("b"), F.col("box").alias("q"), "own", "level", "gx", "gy")
     met = large.join(small, ["level", "gx", "gy"]).where((F.col("own") < F.col("level")) | (F.col("a") < F.col("b")))
     corner = lambda k: at(F.greatest(F.col("p")[k], F.col("q")[k]))
-    met = met.where((corner("x1") == F.col("gx")) & (corner("y1") == F.col("gy")) & (N.box_intersection(F.col("p"), F.col("q")) > 0))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), N.overlap_fraction(F.col("p"), F.col("q")).alias("overlap"))
+    side = lambda i, j: F.least(F.col("p")[j], F.col("q")[j]) - F.greatest(F.col("p")[i], F.col("q")[i])
+    wide = (side("x1", "x2") > least) & (side("y1", "y2") > least)
+    met = met.where((corner("x1") == F.col("gx")) & (corner("y1") == F.col("gy")) & wide & (N.box_intersection(F.col("p"), F.col("q")) > 0))
+    part = N.overlap_fraction(F.col("p"), F.col("q"), F.least("p.area", "q.area"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), part.alias("overlap"))
 
 
 def registration_status(transformable: Column, same_crs: Column, overlap: Column, same_resolution: Column, aligned: Column) -> Column:

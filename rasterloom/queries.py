@@ -251,8 +251,8 @@ def bbox_overlap_pairs(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     b = s.select(k.alias("id"), (k * 37 % 101 / 10.0).alias("x1"), (k * 53 % 97 / 10.0).alias("y1"), (F.col("s_nationkey") / 10.0 + 0.3).alias("w"))
-    b = b.select("id", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("w")).alias("y2"))
-    found = P.overlapping(b).where("overlap > 1e-7")
+    b = b.select("id", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("w")).alias("y2"), (F.col("w") * F.col("w")).alias("area"))
+    found = P.overlapping(b, area="area", least=1e-9)
     return found.select("a", "b", N.micro(F.col("overlap")).alias("overlap"))
 
 
