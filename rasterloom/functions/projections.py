@@ -99,14 +99,14 @@ def _isometric(latitude: Column) -> Column:
     return F.atanh(s) - F.lit(_E) * F.atanh(s * _E)
 
 
-def _turned(degrees: Column) -> Column:
+def wrapped(degrees: Column) -> Column:
     """Within -180 (included) and 180."""
     return degrees - F.floor((degrees + 180.0) / 360.0) * 360.0
 
 
 def _forward(longitude: Column, latitude: Column, crs: Column) -> Column:
     """UTM of degrees; each step is bound before the next one names it."""
-    start = F.struct(F.sinh(_isometric(latitude)).alias("t"), F.radians(_turned(longitude - _meridian(crs))).alias("d"))
+    start = F.struct(F.sinh(_isometric(latitude)).alias("t"), F.radians(wrapped(longitude - _meridian(crs))).alias("d"))
     turned = lambda s: F.struct(F.atan2(s["t"], F.cos(s["d"])).alias("xi"), F.asinh(F.sin(s["d"]) / F.sqrt(s["t"] * s["t"] + F.cos(s["d"]) * F.cos(s["d"]))).alias("eta"))
 
     def placed(s: Column) -> Column:
@@ -129,7 +129,7 @@ def _backward(x: Column, y: Column, crs: Column) -> Column:
             east = east - F.lit(b) * F.cos(s["xi"] * (2 * j)) * F.sinh(s["eta"] * (2 * j))
         return F.struct(north.alias("n"), east.alias("e"))
 
-    placed = lambda s: F.struct(_turned(_meridian(crs) + F.degrees(F.atan2(F.sinh(s["e"]), F.cos(s["n"])))).alias("x"), F.atanh(F.sin(s["n"]) / F.cosh(s["e"])).alias("psi"))
+    placed = lambda s: F.struct(wrapped(_meridian(crs) + F.degrees(F.atan2(F.sinh(s["e"]), F.cos(s["n"])))).alias("x"), F.atanh(F.sin(s["n"]) / F.cosh(s["e"])).alias("psi"))
     return through(through(through(start, turned), placed), lambda s: through(F.struct(s["x"].alias("x"), _sin_to_latitude(s["psi"]).alias("y")), lambda p: _point(p["x"], p["y"])))
 
 
@@ -172,7 +172,7 @@ def transform_bounds(box: Column, source: Column, target: Column, densify: int =
     )
     degrees = F.transform(ring, lambda p: to_degrees(p["x"], p["y"], source))
     # Longitudes beside the first one, so that a box over the antimeridian stays in one piece.
-    joined = lambda ds: F.transform(ds, lambda d: F.struct((F.get(ds, F.lit(0))["x"] + _turned(d["x"] - F.get(ds, F.lit(0))["x"])).alias("x"), d["y"].alias("y")))
+    joined = lambda ds: F.transform(ds, lambda d: F.struct((F.get(ds, F.lit(0))["x"] + wrapped(d["x"] - F.get(ds, F.lit(0))["x"])).alias("x"), d["y"].alias("y")))
     points = F.when(source == target, ring).when(target == 4326, F.when((source == 4326) | (source == 3857), degrees).otherwise(through(degrees, joined))).otherwise(F.transform(degrees, lambda d: from_degrees(d["x"], d["y"], target)))
 
     def limits(ps: Column) -> Column:

@@ -35,3 +35,9 @@ def test_overlaps_of_scales_at_half_a_millionth(spark, tmp_path):
     """The same, with corners that are decimals in SQL."""
     rows = "SELECT * REPLACE (s_suppkey + r * 1000 AS s_suppkey) FROM '/root/testdata/sf0.1/supplier.parquet', range(6) g(r) WHERE (s_suppkey + r * 1000) % 6 IN (4, 5) AND s_suppkey < 400"
     holds(spark, folder(tmp_path, "supplier", rows), "bbox_overlap_scales")
+
+
+def test_way_back_over_the_antimeridian(spark, tmp_path):
+    """Customer 54000 lies at -180 degrees and comes back at 180, less the last bit."""
+    rows = "SELECT * REPLACE (c_custkey + 54000 AS c_custkey) FROM '/root/testdata/sf0.1/customer.parquet' WHERE c_custkey < 50"
+    holds(spark, folder(tmp_path, "customer", rows), "utm_places")
