@@ -28,16 +28,22 @@ def _means(data: Column, height: Column, width: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), mean)
 
 
-def _joined(side: int) -> Column:
-    """The cells of up to four quarters (at, height, width, data) of a tile, row by row; what a missing quarter covers is null."""
+def _covered(there: Column, height: Column, width: Column) -> Column:
+    """Whether each 2 x 2 block holds a cell of the raster; ``there`` null: all cells are of it."""
+    known = halved(F.transform(there, lambda t: F.when(t, 1.0)), height, width)
+    every = F.array_repeat(F.lit(True), (F.ceil(height / 2) * F.ceil(width / 2)).cast("int"))
+    return F.when(there.isNull(), every).otherwise(F.transform(known, lambda v: v.isNotNull()))
+
+
+def _joined(side: int, cells: str, null: Column) -> Column:
+    """The ``cells`` of up to four quarters (at, height, width, ``cells``) of a tile, row by row; ``null`` is what a missing quarter covers."""
     quarter = lambda k: F.get(F.filter("quarters", lambda q: q["at"] == k), F.lit(0))
-    null = F.lit(None).cast("double")
 
     def row(r: Column) -> Column:
         below = r >= side
         left, right = F.when(below, quarter(2)).otherwise(quarter(0)), F.when(below, quarter(3)).otherwise(quarter(1))
         at = F.when(below, r - side).otherwise(r)
-        part = lambda q, width: F.when(q.isNull() | (at >= q["height"]), F.transform(F.sequence(F.lit(1), width), lambda i: null)).otherwise(F.slice(q["data"], at * q["width"] + 1, q["width"]))
+        part = lambda q, width: F.when(q.isNull() | (at >= q["height"]), F.transform(F.sequence(F.lit(1), width), lambda i: null)).otherwise(F.slice(q[cells], at * q["width"] + 1, q["width"]))
         own = F.least(F.col("width"), F.lit(side))
         return F.when(F.col("width") > side, F.concat(part(left, own), part(right, F.col("width") - side))).otherwise(part(left, own))
 
@@ -45,17 +51,18 @@ def _joined(side: int) -> Column:
 
 
 def levels(tiles: DataFrame, keys: list[str], side: int, most: int, cap: int = 24) -> DataFrame:
-    """level, ``keys``, tile_row, tile_col, height, width, data, alpha: the raster and its overviews.
+    """level, ``keys``, tile_row, tile_col, height, width, data, there, alpha: the raster and its overviews.
 
     tiles: ``keys``, tile_row, tile_col, height, width, data, cut every ``side`` cells (an even number). Each level is
     made of 2 x 2 means of valid cells of the level below, until both sides of every raster are within ``most`` cells
     or ``cap`` levels are made. A tile halves its own cells, and four halves become a tile: each level moves a quarter
-    of the cells of the one below, by tile. alpha: 255 where a cell is valid, else 0.
+    of the cells of the one below, by tile. alpha: 255 where a cell is valid, else 0. there: null, or, in a tile over
+    missing ones, whether each cell covers a cell of the raster at all.
     """
     if side % 2 or most < 1:
         raise ValueError("an even tile size and a size of at least 1 are needed")
     half = side // 2
-    base = cut_lineage(tiles.select(F.lit(0).alias("level"), *keys, "tile_row", "tile_col", "height", "width", "data"))
+    base = cut_lineage(tiles.select(F.lit(0).alias("level"), *keys, "tile_row", "tile_col", "height", "width", "data", F.lit(None).cast("array<boolean>").alias("there")))
     made, now = base, base
     for level in range(1, cap + 1):
         size = now.groupBy(*keys).agg(F.max(F.col("tile_row") * side + F.col("height")).alias("h"), F.max(F.col("tile_col") * side + F.col("width")).alias("w"))
@@ -63,11 +70,13 @@ def levels(tiles: DataFrame, keys: list[str], side: int, most: int, cap: int = 2
         large = cut_lineage(large)
         if large.isEmpty():
             break
-        small = now.select(*keys, F.expr("tile_row div 2").cast("int").alias("tile_row"), F.expr("tile_col div 2").cast("int").alias("tile_col"), F.struct(((F.col("tile_row") % 2) * 2 + F.col("tile_col") % 2).cast("int").alias("at"), F.ceil(F.col("height") / 2).cast("int").alias("height"), F.ceil(F.col("width") / 2).cast("int").alias("width"), halved(F.col("data"), F.col("height"), F.col("width")).alias("data")).alias("q"))
+        small = now.select(*keys, F.expr("tile_row div 2").cast("int").alias("tile_row"), F.expr("tile_col div 2").cast("int").alias("tile_col"), F.struct(((F.col("tile_row") % 2) * 2 + F.col("tile_col") % 2).cast("int").alias("at"), F.ceil(F.col("height") / 2).cast("int").alias("height"), F.ceil(F.col("width") / 2).cast("int").alias("width"), halved(F.col("data"), F.col("height"), F.col("width")).alias("data"), _covered(F.col("there"), F.col("height"), F.col("width")).alias("there")).alias("q"))
         whole = small.join(large, keys).groupBy(*keys, "tile_row", "tile_col", "h", "w").agg(F.collect_list("q").alias("quarters"))
         within = lambda k, i: F.least(F.lit(side), F.col(k) - F.col(i) * side).cast("int")
         sized = whole.withColumns({"height": within("h", "tile_row"), "width": within("w", "tile_col")})
-        now = cut_lineage(sized.select(F.lit(level).alias("level"), *keys, "tile_row", "tile_col", "height", "width", _joined(half).alias("data")))
+        data, there = _joined(half, "data", F.lit(None).cast("double")), _joined(half, "there", F.lit(False))
+        there = through(there, lambda t: F.when(F.exists(t, lambda x: ~x), t))
+        now = cut_lineage(sized.select(F.lit(level).alias("level"), *keys, "tile_row", "tile_col", "height", "width", data.alias("data"), there.alias("there")))
         made = made.union(now)
     return made.withColumn("alpha", F.transform("data", lambda v: F.when(v.isNull(), 0).otherwise(255)))
 

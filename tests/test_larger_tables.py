@@ -41,3 +41,9 @@ def test_way_back_over_the_antimeridian(spark, tmp_path):
     """Customer 54000 lies at -180 degrees and comes back at 180, less the last bit."""
     rows = "SELECT * REPLACE (c_custkey + 54000 AS c_custkey) FROM '/root/testdata/sf0.1/customer.parquet' WHERE c_custkey < 50"
     holds(spark, folder(tmp_path, "customer", rows), "utm_places")
+
+
+def test_pyramid_over_missing_tiles(spark, tmp_path):
+    """A last raster of a row and a tile, and rasters with holes: no cells where there is no tile below."""
+    rows = f"SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < 53 AND vec_id NOT IN (3, 17, 18, 21, 22)"
+    holds(spark, folder(tmp_path, "embeddings", rows), "display_pyramid")
