@@ -22,19 +22,22 @@ from ..functions import projections as J
 METHODS = ("nearest", "bilinear")
 
 
-def with_halo(tiles: DataFrame, keys: list[str]) -> DataFrame:
+def with_halo(tiles: DataFrame, keys: list[str], side: int) -> DataFrame:
     """``keys``, tile_row, tile_col, height, width and ``haloed``: (height + 1) x (width + 1) cells, the last row and column from the tiles below and right; null where there is none.
 
-    tiles: ``keys``, tile_row, tile_col, height, width, data (row-major)."""
+    tiles: ``keys``, tile_row, tile_col, height, width, data (row-major), cut every ``side`` cells. A missing tile left
+    of, above or diagonal to another one is there too, all masked: places in its last row or column have support beyond it."""
     w, h = F.col("width"), F.col("height")
     none = F.lit(None).cast(tiles.schema["data"].dataType)
     column = F.transform(F.sequence(F.lit(0), h - 1), lambda r: F.get("data", r * w))
-    part = lambda up, left, **held: F.struct((F.col("tile_row") - up).alias("tile_row"), (F.col("tile_col") - left).alias("tile_col"), *(held.get(k, none).alias(k) for k in ("data", "right", "below", "corner")), F.lit(up + left == 0).alias("own"))
+    part = lambda up, left, **held: F.struct((F.col("tile_row") - up).alias("tile_row"), (F.col("tile_col") - left).alias("tile_col"), *(held.get(k, none).alias(k) for k in ("data", "right", "below", "corner")))
     sent = F.array(part(0, 0, data=F.col("data")), part(0, 1, right=column), part(1, 0, below=F.slice("data", 1, w)), part(1, 1, corner=F.slice("data", 1, 1)))
-    got = tiles.select(*keys, "height", "width", F.explode(sent).alias("s")).select(*keys, "s.*", "height", "width")
+    got = tiles.select(*keys, "height", "width", F.explode(sent).alias("s")).select(*keys, "s.*", "height", "width").where("tile_row >= 0 and tile_col >= 0")
     kept = lambda c: F.first(c, ignorenulls=True).alias(c)
-    own = lambda c: F.max(F.when(F.col("own"), F.col(c))).alias(c)
-    met = got.groupBy(*keys, "tile_row", "tile_col").agg(own("height"), own("width"), *map(kept, ("data", "right", "below", "corner"))).where("data is not null")
+    # A tile is as high as the one right of it and as wide as the one below; before others it is whole.
+    size = lambda c, beside: F.coalesce(F.max(F.when(F.col("data").isNotNull(), F.col(c))), F.max(F.when(F.col(beside).isNotNull(), F.col(c))), F.lit(side)).alias(c)
+    met = got.groupBy(*keys, "tile_row", "tile_col").agg(size("height", "right"), size("width", "below"), *map(kept, ("data", "right", "below", "corner")))
+    met = met.withColumn("data", F.coalesce("data", F.array_repeat(F.lit(None).cast("double"), h * w)))
     rows = F.transform(F.sequence(F.lit(0), h - 1), lambda r: F.concat(F.slice("data", r * w + 1, w), F.array(F.get("right", r))))
     empty = F.transform(F.sequence(F.lit(1), w), lambda i: F.lit(None).cast("double"))
     last = F.concat(F.when(F.col("below").isNull(), empty).otherwise(F.slice(F.concat("below", empty), 1, w)), F.array(F.get("corner", F.lit(0))))
@@ -101,7 +104,7 @@ def warp(tiles: DataFrame, pairs: DataFrame, side: int, method: str = "bilinear"
     wanted = wanted.withColumn("places", where)
     needs = F.array_distinct(F.transform(F.filter("places", lambda p: p.isNotNull()), lambda p: reach(p, 0)))
     asked = wanted.select("*", F.explode(needs).alias("t")).select("pair", "observation", "source", "places", "out_row", "out_col", "t.tile_row", "t.tile_col")
-    met = asked.join(with_halo(tiles, ["observation", "band"]), ["observation", "tile_row", "tile_col"]).withColumn("side", F.lit(side))
+    met = asked.join(with_halo(tiles, ["observation", "band"], side), ["observation", "tile_row", "tile_col"]).withColumn("side", F.lit(side))
     found = met.select("pair", "band", "out_row", "out_col", F.transform("places", lambda p: _value(method, p)).alias("part"))
     merged = F.reduce(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.get("parts", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, y)))
     bands = found.groupBy("pair", "band", "out_row", "out_col").agg(F.collect_list("part").alias("parts")).select("pair", "band", "out_row", "out_col", merged.alias("data"))

@@ -47,3 +47,10 @@ def test_pyramid_over_missing_tiles(spark, tmp_path):
     """A last raster of a row and a tile, and rasters with holes: no cells where there is no tile below."""
     rows = f"SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < 53 AND vec_id NOT IN (3, 17, 18, 21, 22)"
     holds(spark, folder(tmp_path, "embeddings", rows), "display_pyramid")
+
+
+def test_map_tiles_beside_missing_tiles(spark, tmp_path):
+    """Places whose first cell lies in a missing tile take the cells of the tiles right of it and below."""
+    rows = f"SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < 96 AND vec_id NOT IN (0, 9, 16, 17, 26, 32, 34, 41, 42, 59, 64, 72, 81)"
+    holds(spark, folder(tmp_path, "embeddings", rows), "rendered_tiles")
+    holds(spark, str(tmp_path), "warp_bilinear")
