@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # White space of the word rule [^\x20\x09-\x0D]+, as a Java regular expression and as characters.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
+#: Fixed value: places of marked rows, which are broadcast as whole numbers.
+PLACES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def places(*columns: Column) -> Column:
+    """One of ``PLACES`` places of a row, by its hash: a set of rows marks at most as many, whatever its size."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PLACES)).cast("int")
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, and where it is."""
     path = f"{shared_folder(df.sparkSession)}/{name.replace(' ', '_')}-{uuid.uuid4().hex}"

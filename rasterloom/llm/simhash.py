@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_copies
-from .common import cut_lineage, fresh
+from .common import cut_lineage, fresh, places
 from .components import components
 
 SHINGLE = 3
@@ -154,11 +154,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of near copies (``near_copies``; the fingerprints' radius is that of op9 alone): that of
     the smallest doc_id (equal rows, or rows of one doc_id with several texts in a class: one of them). Rows with a null doc_id stay only where their class has no other. The columns of ``docs``."""
-    key, mark, rank = (fresh(docs, x) for x in ("_sh_text", "_sh_id", "_sh_rank"))
+    key, mark, rank, spot, hit = (fresh(docs, x) for x in ("_sh_text", "_sh_id", "_sh_rank", "_sh_place", "_sh_hit"))
     th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    found = near_copies.classes(docs, th, doc_id, text)
+    found = cut_lineage(near_copies.classes(docs, th, doc_id, text))
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x"))
     keep = first.select(F.col("x.doc_id").alias(mark), F.col("x.th").alias(key))
-    joined = docs.withColumn(key, th).join(keep, key).where(F.col(doc_id).eqNullSafe(F.col(mark)))
+    # Rows that go and rows that are there several times mark their places; a row at no marked place stays as it is. Only
+    # the others move: the texts that stay are most, and joining them all would write them to disk twice.
+    many = found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).join(keep, F.col("doc_id").eqNullSafe(F.col(mark)) & (F.col("th") == F.col(key)), "left")
+    marked = many.where((F.col("n") > 1) | F.col(key).isNull()).select(places(F.col("doc_id"), F.col("th")).alias(spot)).distinct()
+    marked = cut_lineage(marked).withColumn(hit, F.lit(True))
+    seen = docs.withColumn(key, th).withColumn(spot, places(F.col(doc_id), F.col(key))).join(F.broadcast(marked), spot, "left")
+    alone = seen.where(F.col(hit).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    joined = seen.where(F.col(hit)).join(keep, key).where(F.col(doc_id).eqNullSafe(F.col(mark)))
     one = W.partitionBy(key, mark).orderBy(key)
-    return joined.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rest = joined.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return alone.union(rest)

@@ -77,3 +77,15 @@ def test_candidates_are_those_of_bit_sliced_simhash(spark):
     df = spark.createDataFrame(rows_, "th long, print binary, bands array<int>")
     for lanes in (1000, 1):
         assert {(max(r), min(r)) for r in n.links(df, lanes).collect()} == {(k + 1, k) for k in range(0, 60, 2)}
+
+
+def test_few_texts_move(spark):
+    """Rows that stay and have no candidate are not dealt: copies, rows that are there several times and null ids still go right."""
+    rnd = random.Random(11)
+    texts = [" ".join("%016x" % rnd.getrandbits(64) for _ in range(1500)) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[3]), (5, texts[5]), (5, texts[5]), (None, texts[6]), (None, "alone of its kind"), (101, texts[7] + " one more")]
+    written = lambda: sum(x.totalShuffleWrite() for x in [spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0)])
+    before = written()
+    got = s.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in got} == {*enumerate(texts), (None, "alone of its kind")} and len(got) == 81
+    assert written() - before < sum(map(len, texts)) / 2
