@@ -6,6 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..sources.shared import cut_lineage
+
+
+#: Fixed value: boxes of a level in a block; a task compares two blocks of a cell at a time.
+BLOCK = 2048
+
+
+def _crossed(own: DataFrame, every: DataFrame, key: str) -> DataFrame:
+    """All meetings (a, p; b, q) of a level's own boxes with the others of their cell, each once.
+
+    Cells of more than ``BLOCK`` boxes are cut into blocks by hash: a box of one side goes to one row of blocks and all
+    its columns, one of the other to one column and all its rows, so a crowded cell is the work of many tasks."""
+    cell = ["level", "gx", "gy"]
+    blocks = lambda c: F.ceil(F.sum(c) / BLOCK).cast("int")
+    crowd = every.groupBy(*cell).agg(blocks((F.col("own") == F.col("level")).cast("int")).alias("rows"), blocks(F.lit(1)).alias("columns")).where("rows > 0 and columns > 1")
+    at = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), key), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sized = lambda d: d.join(F.broadcast(crowd), cell, "left").withColumns({"rows": F.coalesce("rows", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
+    large = sized(own).withColumn("r", at("rows", "row")).withColumn("c", all_("columns")).select(F.col(key).alias("a"), F.col("box").alias("p"), *cell, "r", "c")
+    small = sized(every).withColumn("c", at("columns", "column")).withColumn("r", all_("rows")).select(F.col(key).alias("b"), F.col("box").alias("q"), "own", *cell, "r", "c")
+    # By number: rows are few bytes and their meetings many, so partitions must not be merged by size.
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda d: d.repartition(n, *cell, "r", "c")
+    return dealt(large).join(dealt(small), [*cell, "r", "c"]).where((F.col("own") < F.col("level")) | (F.col("a") < F.col("b")))
 
 
 def overlapping(boxes: DataFrame, key: str = "id", area: str | None = None, least: float = 0.0) -> DataFrame:
@@ -17,7 +41,7 @@ def overlapping(boxes: DataFrame, key: str = "id", area: str | None = None, leas
     Each box has a level by its size: cells of a level are at least as wide as its boxes and less than twice as wide,
     so a box touches four cells of its level at most, and four of any higher one. A pair meets in the level of the
     larger box, in the cell that holds the corner of its intersection: no box is dealt to many cells, however unequal
-    the sizes, and no pair is met twice. Boxes without an area, or with a side that is not finite, share none.
+    the sizes, and no pair is met twice. Crowded cells are the work of many tasks (``_crossed``). Boxes without an area, or with a side that is not finite, share none.
     """
     x, y = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     fine = (x > 0) & (y > 0) & (x < float("inf")) & (y < float("inf"))
@@ -29,9 +53,9 @@ def overlapping(boxes: DataFrame, key: str = "id", area: str | None = None, leas
     at = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
     dealt = each.select(key, "box", "own", "level", F.explode(F.sequence(at(F.col("box.x1")), at(F.col("box.x2")))).alias("gx"))
     dealt = dealt.select("*", F.explode(F.sequence(at(F.col("box.y1")), at(F.col("box.y2")))).alias("gy"))
-    large = dealt.where("own = level").select(F.col(key).alias("a"), F.col("box").alias("p"), "level", "gx", "gy")
-    small = dealt.select(F.col(key).alias("b"), F.col("box").alias("q"), "own", "level", "gx", "gy")
-    met = large.join(small, ["level", "gx", "gy"]).where((F.col("own") < F.col("level")) | (F.col("a") < F.col("b")))
+    # Used three times; a few rows a box.
+    dealt = cut_lineage(dealt)
+    met = _crossed(dealt.where("own = level"), dealt, key)
     corner = lambda k: at(F.greatest(F.col("p")[k], F.col("q")[k]))
     side = lambda i, j: F.least(F.col("p")[j], F.col("q")[j]) - F.greatest(F.col("p")[i], F.col("q")[i])
     wide = (side("x1", "x2") > least) & (side("y1", "y2") > least)

@@ -246,3 +246,13 @@ def test_boxes_of_very_unequal_sizes(spark):
             if w > 0 and h > 0:
                 want[a[0], b[0]] = min(1.0, w * h / min((a[3] - a[1]) * (a[4] - a[2]), (b[3] - b[1]) * (b[4] - b[2])))
     assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_a_crowded_cell_is_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 16, raising=False)
+    rng = random.Random(9)
+    rows = [(i, x := rng.uniform(1, 900), y := rng.uniform(1, 900), x + rng.uniform(20, 700 if i % 3 else 40), y + rng.uniform(20, 700)) for i in range(150)]
+    boxes = spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double").coalesce(1)
+    got = P.overlapping(boxes).select("a", "b", F.spark_partition_id().alias("task")).collect()
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and max(a[1], b[1]) < min(a[3], b[3]) and max(a[2], b[2]) < min(a[4], b[4])}
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want and len({r.task for r in got}) > 1
