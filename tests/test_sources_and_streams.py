@@ -124,3 +124,26 @@ def test_streams(spark, tmp_path):
     counts = V.run_to_table(V.windowed_counts(stream, "ts", "1 minute", "10 minutes", "job_id"), str(tmp_path / "counts"), str(tmp_path / "c3"), "complete")
     assert counts.agg(F.sum("n")).first()[0] == 5
     assert V.frames(df).where("job_id = 'a' and sequence = 0").first().frame == "id: 0\nevent: QUEUED\ndata: {}\n\n"
+
+
+def test_drains_do_not_depend_on_the_groups(spark, tmp_path):
+    """Many jobs share a group's state and timer: over two batches they end as jobs by themselves do."""
+    from datetime import datetime, timedelta
+
+    from rasterloom.streaming.drains import STATE_STORE, drains
+    from rasterloom.streaming.events import run_to_table
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    first = [("drained", at(1), 0, "FAILED", "x"), ("event", at(1), 0, "FAILED", "x"), ("stopped", at(2), 1, "INTERRUPTED", "x"), ("open", at(2), 3, None, "x"), ("early", at(1), 4, None, "job_succeeded"), ("early", at(2), 5, "SUCCEEDED", "x")]
+    second = [("event", at(2.5), 1, None, "job_failed"), ("last", at(9), 0, "FAILED", "x"), ("stopped", at(9), 2, None, "x")]
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, "job_id string, ts timestamp, sequence int, status string, event_type string").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    read = spark.readStream.schema("job_id string, ts timestamp, sequence int, status string, event_type string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        for groups in (1, 2, 1000):
+            got = run_to_table(drains(read, groups=groups), str(tmp_path / f"out{groups}"), str(tmp_path / f"state{groups}")).collect()
+            assert sorted((r.job_id, r.closed_at, r.reason, r.last) for r in got) == [("drained", at(3), "DRAIN", -1), ("early", at(2), "EVENT", 4), ("event", at(2.5), "EVENT", 1), ("stopped", at(2), "INTERRUPTED", -1)]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
